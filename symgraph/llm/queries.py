@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing
+from . import mixing, warc
 from .common import documents
 
 
@@ -26,6 +26,12 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(documents(spark, sf_dir))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import warc_round_trip
+
+    return warc_round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import bpe_digests
 
@@ -50,6 +56,12 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir))
 
 
+def op7_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embed_dedup import embedding_links
+
+    return embedding_links(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_classifier import quality_scores
 
@@ -71,4 +83,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_mixing": mixing.ORACLE_SQL}
+    return {"op2_warc": warc.ORACLE_SQL, "op10_mixing": mixing.ORACLE_SQL}
