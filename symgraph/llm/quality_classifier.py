@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textmodel import Scorer, features, fold, labelled_ids, sampled_texts, score_texts
+from .textmodel import Scorer, features, fold, keep_texts, labelled_ids, sampled_texts, score_texts
 
 GRAMS, BITS = (3, 4), 17
 
@@ -64,6 +64,22 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     Without labels of both classes every score is 0.5. A null or empty text is scored as one
     without features. Columns besides the two named are ignored.
     """
+    make = _trained(docs, labels, id_col, text_col, folds, held_out, per_class, longest)
+    scored = score_texts(docs, id_col, text_col, make)
+    return scored.select(F.col("id").alias(id_col), (fold(F.col("id"), folds) == held_out).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def quality_filter(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 4, held_out: int = 2, threshold: float = 0.7, per_class: int = 1500, longest: int = 20_000) -> DataFrame:
+    """The rows whose score is ``threshold`` or more, with all their columns; see ``quality_scores``.
+
+    Without labels of both classes nothing is rejected.
+    """
+    make = _trained(docs, labels, id_col, text_col, folds, held_out, per_class, longest)
+    return docs if make.args[2] else keep_texts(docs, text_col, make, threshold)
+
+
+def _trained(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, folds: int, held_out: int, per_class: int, longest: int) -> partial:
+    """What builds the scorer in a task; its third argument tells that nothing could be learned."""
     learn = fold(F.col("doc_id"), folds) != held_out
     ids = labelled_ids(labels, "quality", 1, per_class, learn).unionByName(labelled_ids(labels, "quality", 0, per_class, learn))
     sample = sampled_texts(docs, ids, id_col, text_col, longest)
@@ -80,15 +96,12 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     order = np.argsort(np.array([f"{k}/{y}" for k, y in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist())]), kind="stable")
     y = np.array(rows.column(1).to_pylist(), np.int64)[order]
     if len(set(y.tolist())) < 2:
-        weights, bias = np.zeros(1 << BITS, np.float64), 0.0
-    else:
-        buckets, counts = rows.column(2).combine_chunks(), rows.column(3).combine_chunks()
-        vectors, classes, b = train([(buckets[int(i)].values.to_numpy(), counts[int(i)].values.to_numpy()) for i in order], y)
-        weights, bias = (vectors @ (classes[1] - classes[0])).astype(np.float64), float(b[1] - b[0])
-    sent = docs.sparkSession.sparkContext.broadcast(weights)
-    scored = score_texts(docs, id_col, text_col, partial(_from_broadcast, sent, bias))
-    return scored.select(F.col("id").alias(id_col), (fold(F.col("id"), folds) == held_out).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+        return partial(_from_broadcast, docs.sparkSession.sparkContext.broadcast(np.zeros(1 << BITS)), 0.0, True)
+    buckets, counts = rows.column(2).combine_chunks(), rows.column(3).combine_chunks()
+    vectors, classes, b = train([(buckets[int(i)].values.to_numpy(), counts[int(i)].values.to_numpy()) for i in order], y)
+    weights, bias = (vectors @ (classes[1] - classes[0])).astype(np.float64), float(b[1] - b[0])
+    return partial(_from_broadcast, docs.sparkSession.sparkContext.broadcast(weights), bias, False)
 
 
-def _from_broadcast(sent, bias: float):
+def _from_broadcast(sent, bias: float, untrained: bool):
     return _scorer(sent.value, bias)

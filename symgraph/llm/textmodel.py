@@ -106,3 +106,14 @@ def score_texts(docs: DataFrame, id_col: str, text_col: str, make: Callable[[],
 
     rows = docs.select(F.col(id_col).alias("id"), text_or_empty(F.col(text_col)).alias("t"))
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, score double")
+
+
+def keep_texts(docs: DataFrame, text_col: str, make: Callable[[], Callable[[str], float]], least: float) -> DataFrame:
+    """The rows, with all their columns, whose text (null: empty) scores ``least`` or more; no shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = make()
+        for batch in batches:
+            yield batch.filter(pa.array([score(t.as_py() or "") >= least for t in batch.column(text_col)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
