@@ -22,23 +22,13 @@ def extension(path: Column) -> Column:
 
 def language(path: Column, custom: dict[str, str] | None = None) -> Column:
     """By extension, or null; data and schema formats are never code, and registered extensions come first."""
-    ext = extension(path)
-    out = F.when(ext.isin(NEVER_CODE) | (ext == ""), F.lit(None).cast("string"))
-    for e, lang in (custom or {}).items():
-        out = out.when(ext == e, lang)
-    for lang, names in EXTENSIONS.items():
-        out = out.when(ext.isin(names.split()), lang)
-    return out
+    known = {e: lang for lang, names in EXTENSIONS.items() for e in names.split()} | (custom or {})
+    known = {e: lang for e, lang in known.items() if e not in NEVER_CODE}
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in known.items() for x in pair]), extension(path))
 
 
 def is_test_file(path: Column) -> Column:
-    p = F.lower(path)
-    inside = [p.contains(x) for x in (".test.", ".spec.", "_test.", "/tests/", "/__tests__/", "/test/")]
-    begins = [p.startswith(x) for x in ("test_", "tests/", "test/")]
-    out = F.lit(False)
-    for x in inside + begins:
-        out = out | x
-    return out
+    return F.lower(path).rlike(r"[._]test\.|\.spec\.|/tests/|/__tests__/|/test/|^test_|^tests?/")
 
 
 def is_doc_file(path: Column) -> Column:

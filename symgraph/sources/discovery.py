@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,11 +23,8 @@ MAX_FILE_SIZE = 1 << 20
 
 
 def is_ignored(path: Column, ignored: list[str] | None = None) -> Column:
-    rooted = F.concat(F.lit("/"), F.regexp_replace(F.regexp_replace(path, r"\\", "/"), "^/+", ""))
-    out = F.lit(False)
-    for name in ignored or IGNORED:
-        out = out | rooted.contains(f"/{name}/") | rooted.endswith(f"/{name}")
-    return out
+    names = "|".join(map(re.escape, ignored or IGNORED))
+    return F.replace(path, F.lit("\\"), F.lit("/")).rlike(f"(?:^|/)(?:{names})(?:/|$)")
 
 
 def is_not_text(path: Column) -> Column:
@@ -70,6 +69,4 @@ def scan(spark: SparkSession, root: str, max_file_size: int = MAX_FILE_SIZE, ign
 
 
 def _quoted(path: str) -> str:
-    import re
-
     return re.escape(re.sub(r"^[a-z0-9]+:/*", "", path).lstrip("/"))
