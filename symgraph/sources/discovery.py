@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import extension, is_test_file, language
 
 #: Ignored folders, extensions that are read, schema extensions, extensions that are never text.
-IGNORED = "node_modules .git dist lib build .next coverage bin target vendor .venv venv __pycache__".split()
+IGNORED = "node_modules .git .symgraph dist lib build .next coverage bin target vendor .venv venv __pycache__".split()
 INDEXED = "ts tsx js jsx mjs cjs py go rs java c cpp h hpp cs rb php kt scala swift lua zig sh bash sol ex exs ml res m md mdx markdown txt".split()
 SCHEMA = "sql cql prisma proto xsd graphql gql avsc".split()
 NOT_TEXT = (
