@@ -117,11 +117,22 @@ def _mapping(path: str, data: dict) -> list[dict]:
     return [_container(path, name, "elasticsearch", [_attribute(n, p.get("type", "object"), role(p.get("type", "object")), True, p.get("dims")) for n, p in properties.items()])]
 
 
+def _braces(text: str, at: int) -> str:
+    """What stands between the brace at this place and its partner."""
+    depth = 0
+    for k in range(at, len(text)):
+        depth += (text[k] == "{") - (text[k] == "}")
+        if not depth:
+            return text[at + 1 : k]
+    return text[at + 1 :]
+
+
 def parse_mongoose(path: str, content: str) -> list[dict]:
     """Schemas of an object mapper in code; for files that import one."""
     out = []
-    for name, body in re.findall(r"(\w+)Schema\s*=\s*new\s+(?:\w+\.)?Schema\s*\(\s*\{(.*?)\n?\s*\}\s*[,)]", content, re.S):
-        rows = re.findall(r"^\s*(\w+)\s*:\s*(\{[^}]*\}|[\w.\[\]]+)", body, re.M) or re.findall(r"(\w+)\s*:\s*(\{[^}]*\}|[\w.\[\]]+)", body)
+    for m in re.finditer(r"(\w+)Schema\s*=\s*new\s+(?:\w+\.)?Schema\s*(?:<[^>]*>)?\(\s*(?=\{)", content):
+        name, body = m[1], _braces(content, m.end())
+        rows = re.findall(r"(\w+)\s*:\s*(\{[^{}]*\}|\[[^\]]*\]|[\w.]+)", body)
         kind = lambda t: next((k for k in ("String", "Number", "Boolean", "Date") if k in t), "Mixed")
         fields = [_attribute(n, kind(t), "column", "required: true" not in t) for n, t in rows]
         out.append(_container(path, name.lower() + "s", "mongodb", [_attribute("_id", "ObjectId", "primary_key", False), *fields]))
