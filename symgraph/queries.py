@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import names, text
-from .operators import code, impact, ingest, knowledge, link, storage
+from .operators import code, impact, ingest, knowledge, link, porting, storage
 from .plans.graph import SymGraph
 from .plans.traverse import cycles, reach, shortest_paths, trails
 from .sources import discovery, snapshot
@@ -151,12 +151,12 @@ def entry_points(s, d):
     return code.entry_points(g_symbols(s, d), g_calls(s, d), limit=None, candidates=None)
 
 
-@query("interface_member_antijoin", "select id from sym m where not exists (select 1 from sym o where o.kind = 'ECONOMY' and o.file = m.file and o.id <> m.id and o.name = m.name)", "sym")
+@query("interface_member_antijoin", "with m as (select id, qname, file, case when kind = 'ECONOMY' then 'interface' else kind end as kind, case when kind = 'ECONOMY' then file else name end as name from sym) select id from m where not exists (select 1 from m o where o.kind = 'interface' and o.file = m.file and m.qname = o.name || '.' || m.name)", "sym")
 def interface_member_antijoin(s, d):
-    """The anti-join of interface members, driven by a view in which a symbol's namesakes of kind ECONOMY in its file declare it."""
-    m = g_symbols(s, d)
-    owners = m.where("kind = 'ECONOMY'").select(F.col("id").alias("_o"), F.col("name").alias("_n"), F.col("file").alias("_f"))
-    return m.join(owners, (F.col("file") == F.col("_f")) & (F.col("name") == F.col("_n")) & (F.col("id") != F.col("_o")), "left_anti").select("id")
+    """Parts of type ECONOMY are interfaces named like their file."""
+    m, economy = g_symbols(s, d), F.col("kind") == "ECONOMY"
+    m = m.withColumn("name", F.when(economy, F.col("file")).otherwise(F.col("name"))).withColumn("kind", F.when(economy, "interface").otherwise(F.col("kind")))
+    return m.join(code.interface_members(m).select(F.col("id").alias("_m")), F.col("id") == F.col("_m"), "left_anti").select("id")
 
 
 @query("definition_lookup", f"select id, name, qname, kind, file, start_line from sym where name = '{WANTED}' or qname = '{WANTED}' order by file, start_line, id limit 1", "sym")
@@ -415,11 +415,13 @@ def spec_flow(s, d):
     return knowledge.spec_code_flow(g, "Feature", 3)["flow"]
 
 
-@query("symbol_features_union", "select distinct 'section' as kind, path, '' as title from doc join sym on contains(content, 'Apache') and id % 1000 = 0 union select 'rule', path, '' from doc where contains(content, 'GNU')", "doc sym")
+@query("symbol_features_union", "select 'section' as kind, path, '' as title, substr(content, 1, 180) as snippet from doc where contains(content, 'Apache') union select 'rule', path, '', substr(content, 1, 180) from doc where contains(content, 'GNU')", "doc")
 def symbol_features_union(s, d):
-    docs = _docs(s, d)
-    a = docs.where(F.col("content").contains("Apache")).select(F.lit("section").alias("kind"), "path", F.lit("").alias("title"))
-    return a.union(docs.where(F.col("content").contains("GNU")).select(F.lit("rule").alias("kind"), "path", F.lit("").alias("title"))).distinct()
+    docs, target = _docs(s, d), g_symbols(s, d).where(F.col("name") == WANTED).select(F.col("id").alias("symbol_id"))
+    part = docs.select(F.col("path").alias("id"), F.col("path").alias("document_path"), F.col("path").alias("source_doc"), F.lit("").alias("title"), "content")
+    ids = lambda word, name: part.where(F.col("content").contains(word)).select(F.col("id").alias(name)).crossJoin(target.limit(1))  # noqa: E731  one symbol
+    g = graph(s, d).with_tables(sections=part, rules=part, documents_edges=ids("Apache", "section_id"), governs=ids("GNU", "rule_id"))
+    return knowledge.symbol_spec_features(g, WANTED, search_callers=False)["direct"]
 
 
 @query("normalise_identifier", r"select c_name as name, lower(regexp_replace(regexp_replace(c_name || 'Of' || c_mktsegment, '([a-z0-9])([A-Z])', '\1_\2', 'g'), '[-\s]', '_', 'g')) as normal from customer")
@@ -466,12 +468,12 @@ def mapping_compat(s, d):
     return k.withColumn("compatibility", names.compatibility(F.col("mapped") / F.col("fields")))
 
 
-@query("migration_impact", "select (select count(*) from fld where contains(%s, 'a') or contains('a', %s))::bigint as contracts, (select count(*) from sym where contains(name, 'ring'))::bigint as symbols, 'critical' as level" % (_N.format("field"), _N.format("field")), "fld sym")
+@query("migration_impact", "select (select count(*) from fld where contains(%s, 'in') or contains('in', %s))::bigint as contracts, (select count(*) from sym where contains(name, 'in'))::bigint as symbols, 'critical' as level" % (_N.format("field"), _N.format("field")), "fld sym")
 def migration_impact(s, d):
     f, _ = _mapping(s, d)
-    contracts = f.where(names.normalize_identifier(F.col("field")).contains("a") | F.lit("a").contains(names.normalize_identifier(F.col("field")))).agg(F.count("*").alias("contracts"))
-    symbols = g_symbols(s, d).where(F.col("name").contains("ring")).agg(F.count("*").alias("symbols"))
-    return contracts.crossJoin(symbols).withColumn("level", storage.migration_risk(F.col("contracts"), F.col("symbols"), "drop"))  # one row each
+    entities = table(s, d, "region").select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name"), F.col("r_name").alias("file"))
+    g = graph(s, d).with_tables(contract_fields=f.select("entity_id", F.col("field").alias("name"), "raw_type"), contract_entities=entities)
+    return storage.storage_migration_impact(g, "orders", "in", "drop", limit=None)["risk"].drop("tests")
 
 
 @query("json_schema_fields", "select key as field, json_type(props, '$.' || key) as raw_type, count(*)::bigint as events from (select props, unnest(json_keys(props)) as key from events) group by all")
@@ -492,12 +494,14 @@ def url_imports(s, d):
 
 @query("library_slice", "select name, count(*)::bigint as call_edges, count(distinct file)::bigint as files from (select c.*, s.file, t.name from calls c join sym s on s.id = src join sym t on t.id = dst) where file in (select file from sym where id % 40 = 0) and name in (select name from sym where id % 25 = 0) group by all", "calls sym")
 def library_slice(s, d):
-    m, c = g_symbols(s, d), g_calls(s, d)
-    files = m.where("id % 40 = 0").select(F.col("file").alias("_f")).distinct()
-    bound = m.where("id % 25 = 0").select(F.col("name").alias("_n")).distinct()
-    used = c.join(m.select(F.col("id").alias("src_id"), "file"), "src_id").join(m.select(F.col("id").alias("dst_id"), "name"), "dst_id")
-    used = used.join(files, F.col("file") == F.col("_f"), "left_semi").join(bound, F.col("name") == F.col("_n"), "left_semi")
-    return used.groupBy("name").agg(F.count("*").alias("call_edges"), F.countDistinct("file").alias("files"))
+    """The files of each fortieth symbol import the names of each twenty-fifth."""
+    m = g_symbols(s, d)
+    names_ = m.where("id % 25 = 0").groupBy().agg(F.collect_set("name").alias("specifiers"))  # 64 names at most
+    imports = m.where("id % 40 = 0").select(F.col("file").alias("src_path")).distinct().crossJoin(names_).withColumn("imported_path", F.lit("lib")).withColumn("dst_path", F.lit("lib"))
+    calls = g_calls(s, d).join(m.select(F.col("id").alias("dst_id"), F.col("name").alias("callee_name")), "dst_id").withColumn("callee_qname", F.col("callee_name"))
+    files = m.select(F.col("file").alias("path")).distinct().withColumn("library_aliases", F.array().cast("array<struct<alias:string,module:string>>"))
+    used = porting.third_party_slice(graph(s, d).with_tables(files=files, imports=imports, calls=calls), "lib")["usage"]
+    return used.select("name", "call_edges", F.size("files").cast("long").alias("files"))
 
 
 @query("stats_by_language", "select lang as language, count(*)::bigint as files from documents group by all")
