@@ -117,3 +117,31 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     flat = counted.select("id", "w.n_words", "word_chars", "n_symbols", "l.n_dup_lines", "w.n_repeat_words", "w.n_stop", "l.n_lines", "n_upper")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return flat.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & compile_rules(rules)).alias("kept"), "n_stop", "n_lines", "n_upper")
+
+
+def _sql_rules() -> str:
+    measures = {
+        "symbol_ratio": "n_symbols / greatest(n_words, 1)",
+        "stop_ratio": "n_stop / greatest(n_words, 1)",
+        "mean_word_chars": "word_chars / greatest(n_words, 1)",
+        "dup_line_ratio": "n_dup_lines / greatest(n_lines, 1)",
+        "upper_ratio": "n_upper / greatest(word_chars, 1)",
+    }
+    return " and ".join(f"{measures[name]} {sign} {bound}::double" for name, least, most in RULES for sign, bound in ((">=", least), ("<=", most)) if bound is not None)
+
+
+#: The same rows in DuckDB; ``_r`` tells rows of equal ids apart.
+ORACLE_SQL = rf"""
+with d as materialized (select row_number() over () as _r, doc_id, coalesce(text, '') as t from documents),
+w as materialized (select *, list_filter(regexp_split_to_array(t, '[{ASCII_SPACE}]+'), lambda x: x <> '') as w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^{ASCII_SPACE}]')) as l from d),
+words as materialized (select _r, unnest(w) as a, unnest(range(len(w))) as p from w where len(w) > 2),
+windows as (select _r, p, a, lead(a, 1) over o as b, lead(a, 2) over o as c from words window o as (partition by _r order by p)),
+again as (select _r, p from (select *, count(*) over (partition by _r, a, b, c) as n from windows where c is not null) where n > 1),
+covered as (select _r, count(distinct p + k) as n from again, (select unnest([0, 1, 2]) as k) group by _r),
+counted as (
+  select doc_id, len(w) as n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint as word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) as n_symbols, len(l) - len(list_distinct(l)) as n_dup_lines,
+    coalesce(n, 0)::bigint as n_repeat_words, len(list_filter(w, lambda x: lower(x) in ({", ".join(repr(x) for x in sorted({x for own in STOP_WORDS.values() for x in own}))}))) as n_stop, len(l) as n_lines, len(regexp_extract_all(t, '\p{{Lu}}')) as n_upper
+  from w left join covered using (_r)),
+failed as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from counted)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and {_sql_rules()} as kept, n_stop, n_lines, n_upper from failed
+"""

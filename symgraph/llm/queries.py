@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, warc
+from . import mixing, quality_rules, warc
 from .common import documents
 
 
@@ -51,9 +51,7 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .quality_rules import quality_rules
-
-    return quality_rules(documents(spark, sf_dir))
+    return quality_rules.quality_rules(documents(spark, sf_dir))
 
 
 def op7_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,4 +81,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": warc.ORACLE_SQL, "op10_mixing": mixing.ORACLE_SQL}
+    return {"op2_warc": warc.ORACLE_SQL, "op6_quality_rules": quality_rules.ORACLE_SQL, "op10_mixing": mixing.ORACLE_SQL}
