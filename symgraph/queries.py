@@ -394,12 +394,13 @@ def reference_extract(s, d):
     return _docs(s, d).select("path", F.explode(short).alias("reference"))
 
 
-@query("doc_symbol_link", "select distinct path as section_id, id as symbol_id from (select path, unnest(list_distinct(string_split(content, ' '))) as w from doc) join sym on name = w || ' ring' or qname = w", "doc sym")
+@query("doc_symbol_link", """with w as (select path, unnest(list_distinct(string_split(content, ' '))) as w from doc), m as (select item_id as id, string_split(text, ' ') as l from benchmark)
+select path as section_id, id as symbol_id from w join m on w = l[1] union select path, id from w join m on w = l[-1]""", "doc")
 def doc_symbol_link(s, d):
-    words = _docs(s, d).select(F.col("path").alias("id"), F.array_distinct(F.split("content", " ")).alias("w"))
-    refs = words.select("id", F.concat("w", F.transform("w", lambda x: F.concat(x, F.lit(" ring")))).alias("referenced_symbols"))
-    m = g_symbols(s, d)
-    return link.sections_to_symbols(refs, m.where("name like '% ring'").unionByName(m.where("name not like '% ring'").withColumn("name", F.lit(None).cast("string"))))
+    """Benchmark items stand for symbols here, since parts' names are in no document: the first word is the name, the last one the qname."""
+    refs = _docs(s, d).select(F.col("path").alias("id"), F.array_distinct(F.split("content", " ")).alias("referenced_symbols"))
+    words = F.split("text", " ")
+    return link.sections_to_symbols(refs, table(s, d, "benchmark").select(F.col("item_id").alias("id"), F.get(words, F.lit(0)).alias("name"), F.element_at(words, -1).alias("qname")))
 
 
 @query("spec_flow", f"""with recursive f as (select id as node, 0 as depth from sym where name = '{WANTED}' union select c.dst, depth + 1 from f join calls c on c.src = node where depth < 3),
