@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import cut
+
 
 def _union(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
@@ -53,24 +55,22 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, targets: DataFrame, mos
     """``(source, target, hops, path)``: of each pair of a source and a target that is reachable over 1 to ``most`` edges, the least path.
 
     ``sources(source)``, ``targets(target)``. Breadth first, a node keeps the first path by node order; of ties the least in node order wins.
-    The loop ends early once a level finds nothing new.
+    The loop ends early once a level finds nothing new. Each level is written to the shared folder: a level's plan names
+    the one before and all seen, so plans over plans would double with every level.
     """
-    hop = edges.select(F.col("src").alias("_a"), F.col("dst").alias("_b")).distinct()
-    now = sources.select("source", F.col("source").alias("node"), F.array("source").alias("path"))
-    levels, seen = [], None
+    hop = edges.select(F.col("src").alias("_a"), F.col("dst").alias("_b"))
+    now = sources.distinct().select("source", F.col("source").alias("node"), F.array("source").alias("path"))
+    levels = []
     for k in range(1, most + 1):
         step = now.join(hop, F.col("node") == F.col("_a")).groupBy("source", F.col("_b").alias("node")).agg(F.min(F.concat("path", F.array("_b"))).alias("path"))
-        if seen is not None:
-            step = step.join(seen, ["source", "node"], "left_anti")
-        now = step.persist()
-        if not now.head(1):
+        if levels:
+            step = step.join(_union(levels).select("source", "node"), ["source", "node"], "left_anti")
+        now = cut(step, "shortest-paths")
+        if now.isEmpty():
             break
         levels.append(now.withColumn("hops", F.lit(k)))
-        fresh = now.select("source", "node")
-        seen = fresh if seen is None else seen.unionByName(fresh)
-    if not levels:
-        return now.join(targets, F.col("node") == F.col("target")).select("source", "target", F.lit(0).alias("hops"), "path").limit(0)
-    return _union(levels).join(targets, F.col("node") == F.col("target")).select("source", "target", "hops", "path")
+    found = _union(levels) if levels else now.withColumn("hops", F.lit(0))
+    return found.join(targets, F.col("node") == F.col("target")).select("source", "target", "hops", "path")
 
 
 def cycles(edges: DataFrame, least: int = 2, most: int = 6, canonical: bool = False) -> DataFrame:

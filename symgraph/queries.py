@@ -16,6 +16,7 @@ from .operators import code, impact, ingest, knowledge, link, porting, storage
 from .plans.graph import SymGraph
 from .plans.traverse import cycles, reach, shortest_paths, trails
 from .sources import discovery, snapshot
+from .sources.scratch import cut
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -198,7 +199,7 @@ def trails_d3(s, d):
 @query("call_path_shortest", """with recursive r as (select distinct src as source, src as node, 0 as hops from calls where src % 97 = 5 union select source, c.dst, hops + 1 from r join calls c on c.src = node where hops < 6)
 select source, node as target, min(hops) as hops from r where hops > 0 group by all""", "calls")
 def call_path_shortest(s, d):
-    e = g_edges(s, d).persist()
+    e = cut(g_edges(s, d), "edges")
     nodes = e.select(F.col("dst").alias("target")).distinct()
     return shortest_paths(e, e.where("src % 97 = 5").select(F.col("src").alias("source")).distinct(), nodes, 6).select("source", "target", "hops")
 
