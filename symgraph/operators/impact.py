@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.graph import SymGraph, name_or_qname
 from ..plans.traverse import clamp, cycles, reach, shortest_paths, trails
+from .link import tests_holding
 
 
 def call_edges(calls: DataFrame) -> DataFrame:
@@ -18,9 +19,7 @@ def affected_tests(g: SymGraph, changed: DataFrame) -> DataFrame:
     tests = g.files.where("is_test").select(F.col("path").alias("test_path"))
     importing = g.imports.where("not is_external").join(tests, F.col("src_path") == F.col("test_path"), "left_semi").select(F.col("dst_path").alias("file"), F.col("src_path").alias("test_path"))
     by_import = changed.select("file").distinct().join(importing, "file")
-    # a substring of paths: the changed files are what the caller lists, the smaller side of a nested-loop join
-    stem = F.regexp_replace("file", r"\.[^.]*$", "")
-    by_name = changed.select("file").distinct().join(tests, F.col("test_path").contains(stem)).select("file", "test_path")
+    by_name = tests_holding(changed.select("file").distinct(), tests)
     return by_import.unionByName(by_name).where("file <> test_path").distinct()
 
 

@@ -35,6 +35,30 @@ def tests_by_naming(files: DataFrame) -> DataFrame:
     return tests.join(sources, "w").where(names_test(F.col("test_path"), F.col("src_path"))).select("test_path", "src_path").distinct()
 
 
+#: Characters of a path segment, and of a path without segments, that a key holds at most.
+_PREFIX, _GRAM = 16, 3
+
+
+def tests_holding(files: DataFrame, tests: DataFrame) -> DataFrame:
+    """``files(file)``, ``tests(test_path)`` -> ``(file, test_path)`` where the test's path holds the file's path without its extension; no pair of them all is compared.
+
+    Where that stem has a slash, some segment of the test's path begins with the stem's last segment, and, from three segments on,
+    the one before it is the same in both; without a slash, the stem's first letters are somewhere in the path. These are keys of
+    an equality, and the condition verifies. An empty stem is in every path.
+    """
+    parts, stem = F.split("stem", "/"), F.col("stem")
+    last, before = F.substring(F.element_at(parts, -1), 1, _PREFIX), F.try_element_at(parts, F.lit(-2))
+    key = F.when(F.size(parts) == 1, F.concat(F.lit("any:"), F.substring(stem, 1, _GRAM))).when(F.size(parts) == 2, F.concat(F.lit("last:"), last)).otherwise(F.concat(F.lit("two:"), before, F.lit("/"), last))
+    wanted = files.select("file", F.regexp_replace("file", r"\.[^.]*$", "").alias("stem")).distinct().withColumn("key", key)
+
+    own = F.split("test_path", "/")
+    starts = lambda x: F.transform(F.sequence(F.lit(0), F.least(F.length(x), F.lit(_PREFIX))), lambda n: F.substring(x, F.lit(1), n))
+    grams = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(_GRAM)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("test_path") - n + 1, F.lit(1))), lambda i: F.concat(F.lit("any:"), F.substring(F.col("test_path"), i, n)))))
+    inner = F.transform(own, lambda x, i: F.when(i > 0, F.flatten(F.transform(starts(x), lambda p: F.array(F.concat(F.lit("last:"), p), F.concat(F.lit("two:"), F.get(own, i - 1), F.lit("/"), p))))).otherwise(F.array().cast("array<string>")))
+    keyed = tests.select("test_path", F.explode(F.array_distinct(F.concat(grams, F.flatten(inner)))).alias("key"))
+    return wanted.join(keyed, "key").where(F.col("test_path").contains(stem)).select("file", "test_path").distinct()
+
+
 def sections_to_symbols(sections: DataFrame, symbols: DataFrame) -> DataFrame:
     refs = sections.select(F.col("id").alias("section_id"), F.explode("referenced_symbols").alias("ref"))
     return refs.join(match_names(refs.select("ref").distinct(), symbols), "ref").select("section_id", "symbol_id").distinct()

@@ -55,5 +55,18 @@ def test_traversal(spark):
     assert cycles(df, 2, 3).where("size(nodes) <> length + 1").count() == 0
 
 
+def test_tests_holding(spark):
+    from symgraph.operators.link import tests_holding
+
+    rng = random.Random(5)
+    path = lambda: "/".join(rng.choice(["", "a", "ab", "src", "index", "b.c", "a_long_segment_of_a_path", "_"]) for _ in range(rng.randint(1, 4)))
+    files = sorted({path() + rng.choice([".ts", "", ".d.ts"]) for _ in range(90)} | {".env", "x/.env", "", "é.ts", "c.ts"})
+    tests = sorted({path() + rng.choice([".test.ts", "_x", ""]) for _ in range(90)} | {"tests/é.test.ts", "", "tests/src/index/index.test.ts"})
+    want = {(f, t) for f in files for t in tests if (f[: f.rindex(".")] if "." in f else f) in t}
+    found = tests_holding(spark.createDataFrame([(f,) for f in files], "file string"), spark.createDataFrame([(t,) for t in tests], "test_path string"))
+    assert {tuple(r) for r in found.collect()} == want
+    assert "NestedLoop" not in found._jdf.queryExecution().toString() and "Cartesian" not in found._jdf.queryExecution().toString()
+
+
 def test_clamp():
     assert [clamp(x) for x in (0, float("nan"), -4, 11, 2.9, None, "x")] == [3, 3, 1, 10, 2, 3, 3]
