@@ -186,12 +186,3 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     for old in (nodes, linked):
         unstash(old)
     return prints.join(classes, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One row of each component, the one with the smallest id, with all columns. Rows of null id are dropped; of rows with the same id one stays."""
-    columns = docs.columns
-    found = simhash_components(docs, id_col, text_col, **options)
-    kept = stash(found.where(F.col(id_col) == F.col("component_id")).groupBy(F.col(id_col).alias("_kept")).agg(F.count("*").alias("_n")), "simhash-kept")
-    out = docs.join(kept.select("_kept"), docs[id_col] == F.col("_kept"), "left_semi")
-    return (out.dropDuplicates([id_col]) if kept.where("_n > 1").head(1) else out).select(*columns)
