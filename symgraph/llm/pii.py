@@ -30,7 +30,7 @@ _CARD = r"[0-9](?=[ -]?[0-9])[0-9 -]+?(?![0-9]|[ -][0-9])"
 _PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 _NUMBER = r"(?<![0-9+.A-Za-z])[0-9(][0-9 ().-]{5,38}[0-9](?![0-9A-Za-z])"
 _DISGUISED = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?(?:\(at\)|\[at\]|\{at\}| at ) ?[A-Za-z0-9-]{1,63}+(?: ?(?:\(dot\)|\[dot\]|\{dot\}| dot |\.) ?[A-Za-z0-9-]{2,63}+){1,4}"
-_OCTET = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
+_OCTET = r"(?:0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})|0++)"
 _CONTEXT = r"(?i)(?:tel|phone|fon|fax|call|mobil|mail|contact|card|visa|tarjeta|karte|carte|ip|host|server|addr)[a-zé]{0,10}[ .:=#-]{0,4}$"
 #: Feature -> number of values; a table of counts has as many rows as their product at most.
 NUMBER_FEATURES = {"digits": 9, "groups": 5, "dots": 4, "paren": 2, "last": 4, "context": 2, "prev": 3, "next": 3, "luhn": 2, "octets": 2}

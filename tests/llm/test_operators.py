@@ -187,6 +187,15 @@ def test_pii(spark):
     assert pii.detect_pii(frame(spark, [])).count() == 0
 
 
+def test_pii_zero_parts(spark):
+    texts = ["10.0.0.1", "0.0.0.0", "000.1.1.1", "127.0.0.1", "192.168.00.10", "0255.1.1.1", "0256.0.0.0", "1.0.0.00256", "1.0.0"]
+    docs = frame(spark, texts)
+    found = {r["doc_id"]: r for r in pii.detect_pii(docs).collect()}
+    assert [found[i]["n_ip"] for i in range(len(texts))] == [1] * 6 + [0] * 3
+    assert [found[i]["spans"] for i in range(6)] == [f"ip:0:{len(t)}" for t in texts[:6]]
+    assert [r["x"] for r in docs.join(pii.detect_pii(docs).select("doc_id", "found"), "doc_id").where("doc_id < 6").select(pii.redact(F.col("text"), F.col("found")).alias("x")).collect()] == ["[ip]"] * 6
+
+
 def test_redaction(spark):
     docs = frame(spark, ["Mail a@b.c or +1 (767) 555-5699, 😀 1.2.3.4.", "nothing", None])
     found = pii.detect_pii(docs).select("doc_id", "found")
