@@ -1,6 +1,6 @@
 """Quality classifier: supervised subword embeddings, trained by numpy stochastic gradient descent.
 
-Words, their character n-grams and the bigram of a repeated word are hashed into buckets, each with
+Words, their byte n-grams and the bigram of a repeated word are hashed into buckets, each with
 a learned vector. A document is the average of its features' vectors; a softmax over two classes
 is its output. With two classes the softmax needs the difference of the class logits only, which is
 linear in the average: for scoring, every bucket's vector is multiplied by that difference once.
@@ -9,13 +9,12 @@ linear in the average: for scoring, every bucket's vector is multiplied by that
 from __future__ import annotations
 
 from functools import partial
-from math import exp
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textmodel import Scorer, features, fold, keep_texts, labelled_ids, sampled_texts, score_texts
+from .textmodel import Hasher, fold, keep_texts, labelled_features, labelled_ids, score_texts
 
 GRAMS, BITS = (3, 4), 17
 
@@ -45,63 +44,50 @@ def train(docs: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, dim: int = 1
     return vectors, classes, bias
 
 
-def _scorer(weights: np.ndarray, bias: float):
-    sums = Scorer(weights, GRAMS, BITS, lower=False, repeats=True)
+def hasher() -> Hasher:
+    return Hasher(GRAMS, BITS, lower=False, repeats=True)
 
-    def score(text: str) -> float:
-        total, n, _ = sums(text)
-        return 1 / (1 + exp(-max(-500.0, min(500.0, total / max(1, n) + bias))))
+
+def _scorer(sent, bias: float, untrained: bool):
+    own, weights = hasher(), sent.value
+
+    def score(texts: list[str]) -> np.ndarray:
+        total, n, _ = own.sums(texts, weights)
+        return 1 / (1 + np.exp(-np.clip(total / np.maximum(1, n) + bias, -500, 500)))
 
     return score
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 4, held_out: int = 2, threshold: float = 0.7, per_class: int = 1500, longest: int = 20_000) -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 4, held_out: int = 2, threshold: float = 0.7, per_class: int = 1500) -> DataFrame:
     """``(id, held_out boolean, score double, predicted int)``, a row per input row.
 
     ``labels(doc_id, quality)`` may lack documents, repeat rows or hold nulls; rows of the held-out
-    fold are not read for learning. The model learns from at most ``per_class`` documents of each class
-    of at most ``longest`` characters, the first by a hash of the id; every whole text is scored.
+    fold are not read for learning. The model learns from at most ``per_class`` labelled documents of each class, the first
+    by a hash of the id (of repeated ids the least text); every row is scored, by its whole text alone, so repeated rows score alike.
     Without labels of both classes every score is 0.5. A null or empty text is scored as one
     without features. Columns besides the two named are ignored.
     """
-    make = _trained(docs, labels, id_col, text_col, folds, held_out, per_class, longest)
+    make = _trained(docs, labels, id_col, text_col, folds, held_out, per_class)
     scored = score_texts(docs, id_col, text_col, make)
     return scored.select(F.col("id").alias(id_col), (fold(F.col("id"), folds) == held_out).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def quality_filter(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 4, held_out: int = 2, threshold: float = 0.7, per_class: int = 1500, longest: int = 20_000) -> DataFrame:
+def quality_filter(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 4, held_out: int = 2, threshold: float = 0.7, per_class: int = 1500) -> DataFrame:
     """The rows whose score is ``threshold`` or more, with all their columns; see ``quality_scores``.
 
-    Without labels of both classes nothing is rejected.
+    Rows are judged one by one: repeated rows or ids and null ids make no difference. Without labels of both classes nothing is rejected.
     """
-    make = _trained(docs, labels, id_col, text_col, folds, held_out, per_class, longest)
+    make = _trained(docs, labels, id_col, text_col, folds, held_out, per_class)
     return docs if make.args[2] else keep_texts(docs, text_col, make, threshold)
 
 
-def _trained(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, folds: int, held_out: int, per_class: int, longest: int) -> partial:
+def _trained(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, folds: int, held_out: int, per_class: int) -> partial:
     """What builds the scorer in a task; its third argument tells that nothing could be learned."""
     learn = fold(F.col("doc_id"), folds) != held_out
     ids = labelled_ids(labels, "quality", 1, per_class, learn).unionByName(labelled_ids(labels, "quality", 0, per_class, learn))
-    sample = sampled_texts(docs, ids, id_col, text_col, longest)
-
-    def extract(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            found = [features(t.as_py(), GRAMS, BITS, lower=False, repeats=True) for t in batch.column(2)]
-            columns = [batch.column(0).cast(pa.string()), batch.column(1), pa.array([b.astype(np.int32) for b, _ in found], pa.list_(pa.int32())), pa.array([c.astype(np.int32) for _, c in found], pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(columns, ["key", "y", "b", "c"])
-
-    rows = sample.select("key", "y", "t").mapInArrow(extract, "key string, y int, b array<int>, c array<int>").toArrow()
-    order = np.argsort(np.array([f"{k}/{y}" for k, y in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist())]), kind="stable")
-    y = np.array(rows.column(1).to_pylist(), np.int64)[order]
+    y, found, _ = labelled_features(docs, ids, hasher(), id_col, text_col)
+    send = docs.sparkSession.sparkContext.broadcast
     if len(set(y.tolist())) < 2:
-        return partial(_from_broadcast, docs.sparkSession.sparkContext.broadcast(np.zeros(1 << BITS)), 0.0, True)
-    buckets, counts = rows.column(2).combine_chunks(), rows.column(3).combine_chunks()
-    vectors, classes, b = train([(buckets[int(i)].values.to_numpy(), counts[int(i)].values.to_numpy()) for i in order], y)
-    weights, bias = (vectors @ (classes[1] - classes[0])).astype(np.float64), float(b[1] - b[0])
-    return partial(_from_broadcast, docs.sparkSession.sparkContext.broadcast(weights), bias, False)
-
-
-def _from_broadcast(sent, bias: float, untrained: bool):
-    return _scorer(sent.value, bias)
+        return partial(_scorer, send(np.zeros(1 << BITS)), 0.0, True)
+    vectors, classes, b = train(found, y)
+    return partial(_scorer, send((vectors @ (classes[1] - classes[0])).astype(np.float64)), float(b[1] - b[0]), False)
