@@ -12,13 +12,19 @@ from pyspark.sql import functions as F
 ASCII_SPACE = r"\x20\x09-\x0D"
 
 
+#: A key that over one in ``HOT`` rows bear is hot; there are at most ``HOT`` such keys.
+HOT = 1000
+
+
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named in ``spark.checkpoint.dir``; where it is unset (tests on one machine) a temporary one is set."""
+    """The shared folder named in ``spark.checkpoint.dir``. Where it is unset, a temporary one is set in local mode; on a cluster that is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = current.get() if current.isDefined() else None
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="corpus-")
         spark.sparkContext.setCheckpointDir(root)
         spark.conf.set("spark.checkpoint.dir", root)
@@ -48,6 +54,28 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def lookup(left: DataFrame, right: DataFrame, key: str, how: str = "left") -> DataFrame:
+    """``left`` joined with ``right``, whose ``key`` is unique, by that column; no task gets all rows of a hot key.
+
+    ``left`` is counted by key first, so it should be a stored table. Keys that over one in ``HOT`` of its rows bear, ``HOT`` at most,
+    are joined by a broadcast of their rows of ``right``, the others by Catalyst's choice. Null keys find nothing and are not sent anywhere.
+    ``how``: left or inner.
+    """
+    counts = left.groupBy(key).agg(F.count("*").alias("_n"))
+    least = counts.agg(F.sum("_n")).first()[0] or 0
+    hot = [r[0] for r in counts.where(F.col(key).isNotNull() & (F.col("_n") > least / HOT)).select(key).collect()]
+    fresh = [F.col(c) for c in right.columns if c != key]
+    if not hot and not left.schema[key].nullable:
+        return left.join(right, key, how)
+    is_hot = F.col(key).isin(hot) if hot else F.lit(False)
+    rest = left.where(F.col(key).isNotNull() & ~is_hot).join(right, key, how)
+    out = rest.unionByName(left.where(is_hot).join(F.broadcast(right.where(is_hot)), key, how)) if hot else rest
+    if how == "left":
+        none = left.where(F.col(key).isNull()).select("*", *[F.lit(None).cast(right.schema[c].dataType).alias(c) for c in right.columns if c != key])
+        out = out.unionByName(none)
+    return out.select(*left.columns, *fresh)
+
+
 def text_or_empty(column) -> F.Column:
     return F.coalesce(column.cast("string"), F.lit(""))
 

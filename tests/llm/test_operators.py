@@ -246,10 +246,11 @@ def test_embeddings(spark):
 
 
 def test_warc(spark):
-    from symgraph.llm.warc import parse_records, warc_round_trip
+    from symgraph.llm.warc import warc_round_trip
 
-    html = ["<p>" + "a" * 200, "<p>" + "a" * 200, None, "", "short", "short", "x\r\n\r\ny WARC/1.1\r\n" * 20, "é" * 300, "x\r\n\r\ny WARC/1.1\r\n" * 20]
-    pages = spark.createDataFrame([(10 - i, None if i == 4 else f"http://h/{i}\n", h, "p") for i, h in enumerate(html)], "page_id long, url string, html string, payload string")
+    html = ["<p>" + "a" * 200, "<p>" + "a" * 200, None, "", "short", "short", "x\r\n\r\ny WARC/1.1\r\n" * 20, "é" * 300, "x\r\n\r\ny WARC/1.1\r\n" * 20, "b" * 3_000_000]
+    schema = "page_id long, url string, html string, payload string, digest string, key string"
+    pages = spark.createDataFrame([(10 - i, None if i == 4 else f"http://h/{i}\n", h, "p", "d", "k") for i, h in enumerate(html)], schema)
     got = {r["page_id"]: r for r in warc_round_trip(pages).collect()}
     first = {}
     for i in range(len(html) - 1, -1, -1):
@@ -260,11 +261,57 @@ def test_warc(spark):
         assert (r["payload_bytes"], r["payload_digest"]) == (len(body), hashlib.sha256(body).hexdigest())
         assert (r["record_type"], r["refers_to"]) == (("revisit", first[h]) if again else ("response", None))
     assert warc_round_trip(pages.limit(0)).count() == 0
+
+
+def test_warc_repeated_rows_and_hot_payloads(spark):
+    """As many rows as pages, also for equal ids and payloads and where most pages share a payload; the SQL says which."""
+    import duckdb
+    import pandas as pd
+
+    from symgraph.llm import warc
+
+    long, rng = "<p>" + "long " * 40, random.Random(3)
+    rows = [(1, "http://a", long), (1, "http://a", long), (1, "http://b", long), (2, "http://a", long), (2, "http://a", long), (3, None, None), (3, None, None), (4, "u", "s"), (None, "u", long), (None, "u", long)]
+    rows += [(i, f"http://h/{i}", long if i % 3 else f"page {rng.randrange(50)} " * 30) for i in range(10, 3000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    have = warc.warc_round_trip(pages).toPandas()
+    con = duckdb.connect()
+    con.register("pages", pages.toArrow())
+    want = con.execute(warc.ORACLE_SQL).df()
+    plain = lambda df: sorted((tuple(None if pd.isna(v) else str(v).removesuffix(".0") for v in r) for r in df[sorted(want.columns)].astype(object).values.tolist()), key=repr)
+    assert len(have) == len(rows) and plain(have) == plain(want)
+
+
+def test_warc_archives(spark, tmp_path):
     import gzip
 
-    one = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <a>\r\nContent-Length: 3\r\n\r\nxyz\r\n\r\n"
-    assert [r["payload"] for r in parse_records(gzip.compress(one) + gzip.compress(one))] == [b"xyz", b"xyz"]
-    assert [r["record_id"] for r in parse_records(one + one[:-9])] == ["<a>"]
+    from symgraph.llm.warc import inflated, parse_records, read_archive
+
+    one = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <a>\r\nContent-Length: 7\r\n\r\nx\r\n\r\n\xffz\r\n\r\n"
+    payload = b"x\r\n\r\n\xffz"
+    for content in (one + one, gzip.compress(one) + gzip.compress(one), gzip.compress(one + one)):
+        assert [r["payload"] for r in parse_records(inflated(content, 50))] == [payload] * 2
+    assert [r["record_id"] for r in parse_records(inflated(one + one[:-9]))] == ["<a>"]
+    (tmp_path / "a.warc").write_bytes(one * 3)
+    (tmp_path / "b.warc.gz").write_bytes(gzip.compress(one) * 4)
+    (tmp_path / "c.warc.gz").write_bytes(gzip.compress(one + one[:-9]))
+    assert [bytes(r["payload"]) for r in read_archive(spark, f"file://{tmp_path}").collect()] == [payload] * 8
+
+
+def test_warc_assembly(spark):
+    """Requests and metadata that name the response, that it names, and that name another record of it; over repeats and strays."""
+    from symgraph.llm.warc import assemble
+
+    rows = [
+        ("response", "r1", [], 1), ("request", "q1", ["r1"], 2), ("metadata", "m1", ["q1"], 3),
+        ("response", "r2", ["q2", "m2"], 4), ("request", "q2", [], 5), ("metadata", "m2", [], 6), ("metadata", "m3", ["q2"], 7),
+        ("revisit", "r3", [], 8), ("request", "q4", ["nobody"], 9), ("warcinfo", "w", ["r1"], 10), ("metadata", "m4", ["r1", "q1"], 11),
+        ("response", "r5", None, 12), ("response", "r5", None, 13), ("request", "q5", ["r5"], 14),
+    ]
+    records = spark.createDataFrame(rows, "type string, record_id string, concurrent_to array<string>, capture_id int")
+    got = sorted((r["capture_id"], r["response"]["capture_id"], [x["record_id"] for x in r["requests"]], [x["record_id"] for x in r["metadata"]]) for r in assemble(records).collect())
+    assert got == [("r1", 1, ["q1"], ["m1", "m4"]), ("r2", 4, ["q2"], ["m2", "m3"]), ("r3", 8, [], []), ("r5", 12, ["q5"], []), ("r5", 13, ["q5"], [])]
+    assert assemble(records.limit(0)).count() == 0
 
 
 def test_classifiers(spark):
