@@ -7,7 +7,8 @@ piece begins. An automaton step is a function from states to states, and functio
 associatively: the reachable compositions form a small monoid with a multiplication table, so the
 state before every code point comes from a blocked prefix scan over monoid elements, in numpy, for
 many texts at once. The pieces are then slices of the UTF-8 buffer; each distinct piece is merged
-once and kept in a bounded cache of packed ids.
+once and kept in a bounded cache of packed ids. The offset of every token is kept beside the ids: decoding
+writes each token at its offset, so any range of a text can be decoded alone.
 """
 
 from __future__ import annotations
@@ -141,8 +142,8 @@ def boundaries(points: np.ndarray) -> np.ndarray:
     return np.flatnonzero(begins[states, sym])
 
 
-def pieces(texts: list[str]) -> Iterator[list[bytes]]:
-    """The pieces of each text, as UTF-8 bytes."""
+def pieces(texts: list[str]) -> Iterator[tuple[list[bytes], int]]:
+    """The pieces of each text, as UTF-8 bytes, and the length of the text in bytes."""
     at = 0
     while at < len(texts):
         to, total = at, 0
@@ -153,7 +154,7 @@ def pieces(texts: list[str]) -> Iterator[list[bytes]]:
         at = to
 
 
-def _pieces_together(texts: list[str]) -> Iterator[list[bytes]]:
+def _pieces_together(texts: list[str]) -> Iterator[tuple[list[bytes], int]]:
     lengths = np.array([len(t) for t in texts], np.int64)
     joined = "".join(texts)
     ends = np.cumsum(lengths + 1) - 1
@@ -171,7 +172,7 @@ def _pieces_together(texts: list[str]) -> Iterator[list[bytes]]:
     offsets, first = offset.tolist(), 0
     for last in cut.tolist():
         own = offsets[first : last + 1]  # up to the start of the end mark
-        yield [data[a:b] for a, b in zip(own, own[1:])]
+        yield [data[a:b] for a, b in zip(own, own[1:])], own[-1] - own[0]
         first = last + 1
 
 
@@ -180,7 +181,12 @@ class Ranks:
 
     def __init__(self, lines: Iterable[bytes]):
         self.rank = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.token = {i: t for t, i in self.rank.items()}
+        tokens = sorted((i, t) for t, i in self.rank.items())
+        top = tokens[-1][0] + 1 if tokens else 0
+        self.sizes, self.starts = np.full(top, -1, np.int64), np.zeros(top, np.int64)
+        self.sizes[[i for i, _ in tokens]] = [len(t) for _, t in tokens]
+        self.starts[[i for i, _ in tokens]] = np.cumsum([0, *(len(t) for _, t in tokens)])[:-1]
+        self.bytes = np.frombuffer(b"".join(t for _, t in tokens), np.uint8)
         self._cache: dict[bytes, bytes] = {}
 
     @classmethod
@@ -240,19 +246,31 @@ class Ranks:
             self._cache[piece] = out
         return out
 
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """Packed ids of each text."""
-        for own in pieces(texts):
-            known = self._cache.get
-            yield b"".join([known(p) or self._packed(p) for p in own])
-
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
-
-    def offsets(self, ids: bytes) -> list[int]:
-        """Byte offset at which each token begins in the decoded bytes, and the end of the last."""
-        sizes = [len(self.token[i]) for i in np.frombuffer(ids, "<u4").tolist()]
-        return np.concatenate(([0], np.cumsum(sizes, dtype=np.int64))).tolist()
+    def encode(self, texts: list[str]) -> Iterator[tuple[bytes, np.ndarray]]:
+        """Of each text the packed ids, and the byte offset in the text at which each token begins, with the end of the last."""
+        known = self._cache.get
+        for own, length in pieces(texts):
+            packed = b"".join([known(p) or self._packed(p) for p in own])
+            offsets = np.zeros(len(packed) // 4 + 1, np.int64)
+            np.cumsum(self.sizes[np.frombuffer(packed, "<u4")], out=offsets[1:])
+            if offsets[-1] != length:
+                raise ValueError("the tokens do not cover the text")
+            yield packed, offsets
+
+    def decode(self, ids: bytes, offsets: np.ndarray) -> bytes:
+        """Each token's bytes at its offset, counted from the first; an unknown id, or offsets that are not those of the ids, are an error."""
+        own = np.frombuffer(ids, "<u4")
+        if len(own) and int(own.max()) >= len(self.sizes) or (self.sizes[own] != np.diff(offsets)).any():
+            raise ValueError("ids and offsets do not belong together")
+        at = offsets - offsets[0]
+        return self.bytes[np.repeat(self.starts[own] - at[:-1], np.diff(at)) + np.arange(at[-1])].tobytes()
+
+    def decode_range(self, ids: bytes, offsets: np.ndarray, start: int, end: int) -> bytes:
+        """The bytes ``start`` to ``end`` of the text, from the tokens that cover them alone."""
+        first = max(0, int(np.searchsorted(offsets, start, "right")) - 1)
+        last = min(len(offsets) - 1, int(np.searchsorted(offsets, end, "left")))
+        own = self.decode(ids[4 * first : 4 * last], offsets[first : last + 1]) if first < last else b""
+        return own[start - offsets[first] : max(0, end - offsets[first])]
 
 
 def _local(path: str) -> str:
@@ -260,11 +278,11 @@ def _local(path: str) -> str:
     return path if "/" in path else SparkFiles.get(path)
 
 
-def bpe_encode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text", keep_offsets: bool = True) -> DataFrame:
-    """``(id, ids array<int>[, offsets array<int>])``, a row per input row.
+def bpe_encode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id, ids array<int>, offsets array<long>)``, a row per input row.
 
-    ``offsets`` are byte offsets in the UTF-8 text, one for each token. A null or empty text gives
-    empty arrays; ids repeat as they do in the input; columns besides the two named are ignored.
+    ``offsets`` are byte offsets in the UTF-8 text, one for each token, and the length of the text. A null or empty text gives
+    no ids; ids repeat as they do in the input; columns besides the two named are ignored. An empty table gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,42 +290,39 @@ def bpe_encode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_co
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                packed = list(ranks.encode(part.column(1).to_pylist()))
-                columns = [part.column(0), pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in packed], pa.list_(pa.int32()))]
-                if keep_offsets:
-                    columns.append(pa.array([ranks.offsets(x)[:-1] for x in packed], pa.list_(pa.int32())))
-                yield pa.RecordBatch.from_arrays(columns, ["id", "ids", "offsets"][: len(columns)])
+                found = list(ranks.encode(part.column(1).to_pylist()))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x, _ in found], pa.list_(pa.int32())), pa.array([o for _, o in found], pa.list_(pa.int64()))], ["id", "ids", "offsets"])
 
     rows = docs.select(F.col(id_col).alias("id"), text_or_empty(F.col(text_col)).alias("t"))
-    out = rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, ids array<int>" + ", offsets array<int>" * keep_offsets)
-    return out.withColumnRenamed("id", id_col)
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, ids array<int>, offsets array<long>").withColumnRenamed("id", id_col)
 
 
-def bpe_decode(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """``(id, decoded binary)``: the bytes of the ids; null ids count as none. An unknown id is an error."""
+def bpe_decode(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col: str = "ids", offsets_col: str = "offsets") -> DataFrame:
+    """``(id, decoded binary)``: the bytes of the ids at their offsets; null ids count as none. An unknown id, or offsets of other ids, are an error."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = Ranks.from_file(_local(ranks_path))
         for batch in batches:
-            decoded = [ranks.decode(np.array(x or [], "<u4").tobytes()) for x in batch.column(1).to_pylist()]
+            rows = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())
+            decoded = [ranks.decode(np.array(x or [], "<u4").tobytes(), np.array(o or [0], np.int64)) for x, o in rows]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(decoded, pa.binary())], ["id", "decoded"])
 
-    rows = encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
+    rows = encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"), F.col(offsets_col).alias("offsets"))
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, decoded binary").withColumnRenamed("id", id_col)
 
 
 def bpe_digests(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, n_tokens long, ids_sha256, decoded_sha256)``: encodes and decodes where the text is, and keeps digests only."""
+    """``(id, n_tokens long, ids_sha256, decoded_sha256)``: encodes and decodes where the text is, and keeps digests only; see ``bpe_encode``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks, digest = Ranks.from_file(_local(ranks_path)), lambda x: hashlib.sha256(x).hexdigest()
         for batch in batches:
             counts, ids, texts = [], [], []
             for at in range(0, batch.num_rows, 256):
-                for packed in ranks.encode(batch.column(1).slice(at, 256).to_pylist()):
+                for packed, offsets in ranks.encode(batch.column(1).slice(at, 256).to_pylist()):
                     counts.append(len(packed) // 4)
                     ids.append(digest(packed))
-                    texts.append(digest(ranks.decode(packed)))
+                    texts.append(digest(ranks.decode(packed, offsets)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     rows = docs.select(F.col(id_col).alias("id"), text_or_empty(F.col(text_col)).alias("t"))

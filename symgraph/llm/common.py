@@ -49,33 +49,68 @@ def unstash(df: DataFrame) -> None:
     remove(df.sparkSession, df._scratch)
 
 
+def settle(df: DataFrame, label: str) -> DataFrame:
+    """``stash`` of what reads a stashed table that nothing else reads, and that is then deleted."""
+    out = stash(df, label)
+    unstash(df)
+    return out
+
+
 def remove(spark: SparkSession, path: str) -> None:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def lookup(left: DataFrame, right: DataFrame, key: str, how: str = "left") -> DataFrame:
+def lookup(left: DataFrame, right: DataFrame, key: str, how: str = "left", counts: DataFrame | None = None) -> DataFrame:
     """``left`` joined with ``right``, whose ``key`` is unique, by that column; no task gets all rows of a hot key.
 
-    ``left`` is counted by key first, so it should be a stored table. Keys that over one in ``HOT`` of its rows bear, ``HOT`` at most,
-    are joined by a broadcast of their rows of ``right``, the others by Catalyst's choice. Null keys find nothing and are not sent anywhere.
-    ``how``: left or inner.
+    ``counts(key, _n)``: the rows of ``left`` by key; without it they are counted, so both should be stored tables. Keys that over one in
+    ``HOT`` of the rows bear, ``HOT`` at most, are joined by a broadcast of their rows of ``right``, the others by
+    Catalyst's choice. Null keys find nothing and are not sent anywhere. ``how``: left or inner.
     """
-    counts = left.groupBy(key).agg(F.count("*").alias("_n"))
-    least = counts.agg(F.sum("_n")).first()[0] or 0
-    hot = [r[0] for r in counts.where(F.col(key).isNotNull() & (F.col("_n") > least / HOT)).select(key).collect()]
-    fresh = [F.col(c) for c in right.columns if c != key]
-    if not hot and not left.schema[key].nullable:
-        return left.join(right, key, how)
+    if counts is None:
+        counts = left.groupBy(key).agg(F.count("*").alias("_n"))
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    hot = [r[0] for r in counts.where(F.col(key).isNotNull() & (F.col("_n") > total / HOT)).select(key).collect()]
     is_hot = F.col(key).isin(hot) if hot else F.lit(False)
-    rest = left.where(F.col(key).isNotNull() & ~is_hot).join(right, key, how)
-    out = rest.unionByName(left.where(is_hot).join(F.broadcast(right.where(is_hot)), key, how)) if hot else rest
+    out = left.where(F.col(key).isNotNull() & ~is_hot).join(right, key, how)
+    if hot:
+        out = out.unionByName(left.where(is_hot).join(F.broadcast(right.where(is_hot)), key, how))
+    fresh = [c for c in right.columns if c != key]
     if how == "left":
-        none = left.where(F.col(key).isNull()).select("*", *[F.lit(None).cast(right.schema[c].dataType).alias(c) for c in right.columns if c != key])
-        out = out.unionByName(none)
+        out = out.unionByName(left.where(F.col(key).isNull()).select("*", *[F.lit(None).cast(right.schema[c].dataType).alias(c) for c in fresh]))
     return out.select(*left.columns, *fresh)
 
 
+def dealt(keyed: DataFrame, sample: DataFrame, node: str, block: int, one_in: int = 64) -> DataFrame:
+    """``keyed(key, node)`` with ``salt`` and ``salts``: buckets of well over ``block`` rows are dealt into several of about that size.
+
+    ``sample``: the same for nodes of which one in ``one_in`` is taken by a hash. It decides how rows are laid out, not which.
+    """
+    some = sample.groupBy("key").agg(F.count("*").alias("_n")).where(F.col("_n") >= max(2, 2 * block // one_in))
+    large = stash(some.select("key", F.ceil(F.col("_n") * one_in / block).cast("int").alias("salts")), "large-buckets")
+    salts = F.coalesce("salts", F.lit(1))
+    out = keyed.join(large, "key", "left").select(*keyed.columns, F.pmod(F.xxhash64(node), salts).cast("int").alias("salt"), salts.alias("salts"))
+    out._scratch = large._scratch
+    return out
+
+
+def one_in(column: str, n: int = 64):
+    return F.pmod(F.xxhash64(F.lit("sample"), column), F.lit(n)) == 0
+
+
+def blocks(rows: DataFrame, node: str, left: dict[str, str], right: dict[str, str]) -> DataFrame:
+    """All pairs of rows of a key that come from different components, found block against block.
+
+    ``rows`` has key, salts, the node and the columns named; both sides of a bucket are dealt into ``salts`` blocks, so a task compares
+    two blocks, whatever the size of the bucket.
+    """
+    own, every = F.pmod(F.xxhash64(node), F.col("salts")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1))
+    one = rows.select("key", own.alias("i"), every.alias("j"), *[F.col(c).alias(n) for c, n in left.items()])
+    two = rows.select("key", every.alias("i"), own.alias("j"), *[F.col(c).alias(n) for c, n in right.items()])
+    return one.join(two, ["key", "i", "j"]).where("c < c2")
+
+
 def text_or_empty(column) -> F.Column:
     return F.coalesce(column.cast("string"), F.lit(""))
 

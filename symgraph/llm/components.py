@@ -2,8 +2,8 @@
 
 Every step keeps the components and replaces edges by stars around smaller nodes, so the number of
 steps grows with the logarithm of the longest chain. Each step is a shuffle of the edges; its
-result is written to the shared folder, and only two numbers (row count and checksum) reach the
-driver, to see whether anything changed.
+result is written to the shared folder, and only counts, a checksum and the few nodes with the most edges reach the
+driver. The edges of such a node stay where they are (``lookup``), so the star of a very large component is no task's alone.
 """
 
 from __future__ import annotations
@@ -11,20 +11,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash, unstash
+from .common import lookup, stash, unstash
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _least(edges: DataFrame) -> DataFrame:
+    """Of each u the least neighbour, and its number of edges."""
+    return stash(edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("_n")), "star-centres")
+
+
+def _large_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = _least(both)
+    met = lookup(both.where("v > u"), least.select("u", F.least("m", "u").alias("m")), "u", "inner", least.select("u", "_n"))
+    return met.select(F.col("v").alias("u"), F.col("m").alias("v")), least
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(least.select("u", F.col("m").alias("v")))
+    least = _least(down)
+    met = lookup(down, least.select("u", "m"), "u", "inner", least.select("u", "_n"))
+    moved = met.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.unionByName(least.select("u", F.col("m").alias("v"))), least
 
 
 def connected_components(edges: DataFrame, label: str = "components") -> DataFrame:
@@ -37,10 +44,17 @@ def connected_components(edges: DataFrame, label: str = "components") -> DataFra
     mark = lambda df: df.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
     seen = mark(now)
     while seen[0]:
-        after = stash(_small_star(_large_star(now)).distinct(), label)
-        unstash(now)
+        large, centres = _large_star(now)
+        large = stash(large.distinct(), label)
+        small, others = _small_star(large)
+        after = stash(small.distinct(), label)
+        for old in (now, large, centres, others):
+            unstash(old)
         now, before, seen = after, seen, mark(after)
         if seen == before:
             break
+    # what is returned reads the last step's table; ``unstash`` of it deletes that
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+    out = now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+    out._scratch = now._scratch
+    return out

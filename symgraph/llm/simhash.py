@@ -16,10 +16,10 @@ Four differing bits over three segments leave two cases (pigeonhole):
 So linked fingerprints share at least one of about 95 keys of 33 bits, and unrelated ones rarely
 share any. Candidates are verified by their Hamming distance.
 
-Equal fingerprints are one node from the start. Within a bucket no list of all pairs is made:
-fingerprints are compared in order with their first and last few predecessors, which is every pair
+Equal fingerprints are one node from the start. Within a bucket no list of all pairs is made: large buckets are
+dealt into parts, fingerprints are compared in order with their first and last few predecessors in the part, which is every pair
 in buckets of up to ``LAGS + 1``; for larger ones, what those links leave in different components
-is compared across components only, salted by the bucket's size. That finds all components.
+is compared across components only, block against block. That finds all components.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hamming, stash, text_or_empty, unstash
+from .common import blocks, dealt, hamming, lookup, one_in, settle, stash, text_or_empty, unstash
 from .components import connected_components
 
 #: Bits of the segments, from the lowest.
@@ -39,7 +39,7 @@ SEGMENTS = (21, 21, 22)
 #: Generator polynomial of the Golay code.
 GOLAY = 0xC75
 LAGS = 4
-#: Rows of a bucket that one task compares with the whole bucket.
+#: Rows of a part of a bucket, and of a block of those compared with each other.
 BLOCK = 1024
 _BLOCK_HASHES = 1 << 15
 
@@ -148,24 +148,25 @@ def link_fingerprints(nodes: DataFrame, max_bits: int = 4) -> DataFrame:
     """``nodes(fp long)``, distinct -> ``(node, component)`` of the fingerprints that link with another; component: its smallest fp."""
     if not 0 <= max_bits <= 4:
         raise ValueError("the keys are complete for up to 4 differing bits")
-    w = Window.partitionBy("key").orderBy("fp")
     near = lambda other: hamming(F.col("fp"), F.col(other)) <= max_bits
-    seen = _keyed(nodes).select("key", "fp", F.row_number().over(w).alias("n"), F.first("fp").over(w).alias("p0"), *[F.lag("fp", k).over(w).alias(f"p{k}") for k in range(1, LAGS + 1)], *[F.lead("fp", k).over(w).alias(f"s{k}") for k in range(1, LAGS + 2)])
-    big = F.col("n") > LAGS + 1
+    w = Window.partitionBy("key", "salt").orderBy("fp")
+    keyed = dealt(_keyed(nodes), _keyed(nodes.where(one_in("fp"))), "fp", BLOCK)
+    seen = keyed.select("key", "fp", "salts", F.row_number().over(w).alias("n"), F.first("fp").over(w).alias("p0"), *[F.lag("fp", k).over(w).alias(f"p{k}") for k in range(1, LAGS + 1)], *[F.lead("fp", k).over(w).alias(f"s{k}") for k in range(1, LAGS + 2)])
+    big = (F.col("salts") > 1) | (F.col("n") > LAGS + 1)
     for n in range(1, LAGS + 2):
         big = big | ((F.col("n") == n) & F.col(f"s{LAGS + 2 - n}").isNotNull())
     to = F.array_compact(F.array(*[F.when((F.col("n") > 1) & near(f"p{k}"), F.col(f"p{k}")) for k in range(LAGS + 1)]))
-    found = stash(seen.where("n > 1 or s1 is not null").select("key", "fp", to.alias("to"), F.coalesce(big, F.lit(False)).alias("big")).where("big or size(to) > 0"), "simhash-buckets")
+    found = stash(seen.where("salts > 1 or n > 1 or s1 is not null").select("key", "fp", to.alias("to"), F.coalesce(big, F.lit(False)).alias("big")).where("big or size(to) > 0"), "simhash-buckets")
     edges = found.select(F.col("fp").alias("u"), F.explode("to").alias("v"))
-    first = stash(connected_components(edges, "simhash-first"), "simhash-first")
-
-    members = found.where("big").join(first.withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", F.coalesce("component", "fp").alias("c"))
-    split = members.groupBy("key").agg(F.count("*").alias("rows"), F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high")
-    open_ = stash(members.join(split, "key").select("key", "fp", "c", F.ceil(F.col("rows") / BLOCK).cast("int").alias("salts")), "simhash-open")
-    one = open_.select("key", F.pmod(F.xxhash64("fp"), F.col("salts")).cast("int").alias("salt"), "fp", "c")
-    two = open_.select("key", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("fp").alias("fp2"), F.col("c").alias("c2"))
-    across = one.join(two, ["key", "salt"]).where((F.col("c") < F.col("c2")) & (hamming(F.col("fp"), F.col("fp2")) <= max_bits)).select(F.col("c").alias("u"), F.col("c2").alias("v")).distinct()
-    joined = connected_components(first.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(across), "simhash-last")
+    first = settle(connected_components(edges, "simhash-edges"), "simhash-first")
+
+    members = stash(found.where("big").join(first.withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", F.coalesce("component", "fp").alias("c")), "simhash-members")
+    split = stash(members.groupBy("key").agg(F.count("*").alias("_n"), F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high"), "simhash-split")
+    open_ = lookup(members, split.select("key", F.ceil(F.col("_n") / BLOCK).cast("int").alias("salts")), "key", "inner", split.select("key", "_n"))
+    across = blocks(open_, "fp", {"fp": "fp", "c": "c"}, {"fp": "fp2", "c": "c2"}).where(hamming(F.col("fp"), F.col("fp2")) <= max_bits).select(F.col("c").alias("u"), F.col("c2").alias("v")).distinct()
+    joined = settle(connected_components(first.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(across), "simhash-edges"), "simhash-last")
+    for old in (keyed, found, first, members, split):
+        unstash(old)
     return joined
 
 
@@ -178,11 +179,12 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     unless all are null. Columns besides the two named are ignored. An empty table gives an empty result.
     """
     prints = stash(fingerprints(docs, id_col, text_col, shingle_words, seed), "simhash-prints")
-    nodes = stash(prints.groupBy("fp").agg(F.min("id").alias("least")), "simhash-nodes")
-    linked = stash(link_fingerprints(nodes, max_bits), "simhash-linked")
-    named = nodes.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("c"))
-    least = named.groupBy("c").agg(F.min("least").alias("component_id"))
-    classes = stash(named.join(least, "c").select("fp", "component_id"), "simhash-classes")
-    for old in (nodes, linked):
+    nodes = stash(prints.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("_n")), "simhash-nodes")
+    linked = link_fingerprints(nodes.select("fp"), max_bits)
+    named = stash(nodes.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", "_n", F.coalesce("component", "fp").alias("c")), "simhash-named")
+    least = stash(named.groupBy("c").agg(F.min("least").alias("component_id"), F.count("*").alias("_n")), "simhash-least")
+    classes = stash(lookup(named.select("fp", "c"), least.select("c", "component_id"), "c", "inner", least.select("c", "_n")).select("fp", "component_id"), "simhash-classes")
+    out = lookup(prints, classes, "fp", "inner", nodes.select("fp", "_n"))
+    for old in (nodes, linked, named, least):
         unstash(old)
-    return prints.join(classes, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

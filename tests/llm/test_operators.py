@@ -124,7 +124,17 @@ def test_bpe(spark, texts):
     for r in bpe.bpe_decode(encoded, path).collect():
         assert bytes(r["decoded"]).decode() == (texts[r["doc_id"]] or "")
     one = encoded.where("doc_id = 7").first()
-    assert one["offsets"][0] == 0 and len(one["offsets"]) == len(one["ids"])
+    assert one["offsets"][0] == 0 and len(one["offsets"]) == len(one["ids"]) + 1
+    ranks = bpe.Ranks.from_file(path)
+    for t in [texts[0], texts[12], "", "é漢😀 's"]:
+        (ids, offsets), data = next(iter(ranks.encode([t]))), t.encode()
+        for _ in range(30):
+            a, b = sorted(rng.randrange(len(data) + 2) for _ in range(2))
+            assert ranks.decode_range(ids, offsets, a, b) == data[a:b]
+    with pytest.raises(ValueError):
+        ranks.decode(np.array([0, 1], "<u4").tobytes(), np.array([0, 1, 7]))
+    with pytest.raises(ValueError):
+        ranks.decode(np.array([10**6], "<u4").tobytes(), np.array([0, 1]))
     assert bpe.bpe_digests(frame(spark, []), path).count() == 0
 
 
@@ -221,6 +231,26 @@ def test_mixing(spark):
     assert all(r["taken"] == 0 for r in mixing.mix(frame(spark, [None, ""])).collect())
 
 
+def test_mixing_repeats_and_nulls(spark):
+    """Repeated and null ids with different texts are drawn apart, repeated rows alike, and the mix itself holds each row as often as told."""
+    rng = random.Random(5)
+    rows = [(rng.choice([None, 1, 2, i]), " ".join(rng.choice("abc") for _ in range(rng.randint(0, 9))) or None, rng.choice(["x", "y", None]), i) for i in range(900)]
+    rows += rows[:100]
+    docs = spark.createDataFrame([(*r, "d", 1, 2, "b") for r in rows], "doc_id long, text string, source string, n_chars int, draw string, repeats int, size int, doc string")
+    by_row = {(r["doc_id"], r["text"], r["source"]): set() for r in docs.collect()}
+    plain = mixing._taken(docs, mixing.plan(docs), "doc_id", "text", "source", 42).select("doc.doc_id", "doc.text", "doc.source", F.col("repeats").alias("k")).collect()
+    for r in plain:
+        by_row[r["doc_id"], r["text"], r["source"]].add(r["k"])
+    assert all(len(k) == 1 for k in by_row.values())
+    nulls = {k for (i, t, s), ks in by_row.items() if i is None and s == "x" and t for k in ks}
+    assert len(nulls) > 1, "null ids are not all taken alike"
+    out = mixing.mixed(docs)
+    assert out.columns == docs.columns
+    want = Counter((r["doc_id"], r["text"], r["source"]) for r in plain for _ in range(r["k"]))
+    assert Counter((r["doc_id"], r["text"], r["source"]) for r in out.collect()) == want
+    assert mixing.mixed(docs.limit(0)).count() == 0
+
+
 def test_embeddings(spark):
     from symgraph.llm.embed_dedup import embedding_links
 
