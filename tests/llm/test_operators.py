@@ -195,6 +195,10 @@ def test_pii(spark):
         assert [found[i][f"n_{k}"] for k in kinds] == [sum(x[3] == k for x in base) for k in kinds]
         assert set(listed) <= set(found[i]["spans"].split(",")) | {""}
     assert pii.detect_pii(frame(spark, [])).count() == 0
+    # a text's result depends on that text alone; rows and ids repeat as they do in the input
+    few = spark.createDataFrame([(5, texts[10]), (5, texts[11]), (None, texts[10]), (5, texts[10])], "doc_id long, text string")
+    again = sorted(r["spans"] for r in pii.detect_pii(few).collect())
+    assert again == sorted([found[10]["spans"]] * 3 + [found[11]["spans"]])
 
 
 def test_pii_zero_parts(spark):
@@ -203,14 +207,86 @@ def test_pii_zero_parts(spark):
     found = {r["doc_id"]: r for r in pii.detect_pii(docs).collect()}
     assert [found[i]["n_ip"] for i in range(len(texts))] == [1] * 6 + [0] * 3
     assert [found[i]["spans"] for i in range(6)] == [f"ip:0:{len(t)}" for t in texts[:6]]
-    assert [r["x"] for r in docs.join(pii.detect_pii(docs).select("doc_id", "found"), "doc_id").where("doc_id < 6").select(pii.redact(F.col("text"), F.col("found")).alias("x")).collect()] == ["[ip]"] * 6
+    assert [r["text"] for r in pii.redacted(docs).where("doc_id < 6").collect()] == ["[ip]"] * 6
 
 
 def test_redaction(spark):
-    docs = frame(spark, ["Mail a@b.c or +1 (767) 555-5699, 😀 1.2.3.4.", "nothing", None])
-    found = pii.detect_pii(docs).select("doc_id", "found")
-    out = docs.join(found, "doc_id").select("doc_id", pii.redact(F.col("text"), F.col("found")).alias("x")).orderBy("doc_id").collect()
-    assert [r["x"] for r in out] == ["Mail [email] or [phone], 😀 [ip].", "nothing", None]
+    docs = frame(spark, ["Mail a@b.c or +1 (767) 555-5699, 😀 1.2.3.4.", "nothing", None, "x 4303624562121775 1.2.3.4"])
+    out = pii.redacted(docs).orderBy("doc_id").collect()
+    assert [r["text"] for r in out] == ["Mail [email] or [phone], 😀 [ip].", "nothing", None, "x [card] [ip]"]
+    assert [r["n_chars"] for r in out] == [len(out[0]["text"]), 0, 0, len(out[3]["text"])]
+    assert pii.redacted(docs).columns == docs.columns and pii.redacted(docs.limit(0)).count() == 0
+    assert [r["id"] for r in out] == [7] * 4  # other columns stay
+
+
+def test_redaction_of_overlapping_spans(spark):
+    rng, text = random.Random(2), "".join(chr(97 + i % 26) for i in range(400))
+    for n in (0, 1, 5, 150):
+        found = sorted((a := rng.randrange(390), "phone", min(400, a + rng.randint(1, 9))) for _ in range(n))
+        want, at = "", 0
+        for a, kind, b in found:
+            if a >= at:
+                want += text[at:a] + f"[{kind}]"
+            at = max(at, b)
+        rows = spark.createDataFrame([(text, [(a, b, kind) for a, kind, b in found])], "text string, found array<struct<start:int,end:int,kind:string>>")
+        assert rows.select(pii.redact(F.col("text"), F.col("found")).alias("x")).first()["x"] == want + text[at:]
+
+
+def test_pii_running_states(spark):
+    values = [random.Random(1).randint(-9, 9) for _ in range(1000)]
+    for n in (0, 1, 63, 64, 65, 128, 1000):
+        rows = spark.createDataFrame([(values[:n],)], "v array<int>")
+        got = rows.select(pii.running(F.col("v"), F.lit(3), "int", lambda now, x: now + x).alias("x")).first()["x"]
+        assert got == [3 + sum(values[: k + 1]) for k in range(n)]
+
+
+def test_pii_many_spans_and_long_texts(spark):
+    """Offsets far into a text of thousands of candidates, and a base span among added ones, are right."""
+    text = "é 10.0.0.1, tel. (030) 123-4567; " * 3000
+    r = pii.detect_pii(frame(spark, [text])).first()
+    assert r["n_ip"] == 3000
+    spans = [(k, text[int(a) : int(b)]) for k, a, b in (x.split(":") for x in r["spans"].split(","))]
+    assert Counter(spans) == {("ip", "10.0.0.1"): 3000, ("phone", "(030) 123-4567"): 3000}
+
+
+def test_pii_finds_disguised_data(spark):
+    """What the base patterns miss, in any case and whatever else the text holds; and what only looks like it."""
+    yes = {
+        "please write to john.doe at example dot com today": ("email", "john.doe at example dot com"), "mail: JOHN (AT) EXAMPLE (DOT) ORG now": ("email", "JOHN (AT) EXAMPLE (DOT) ORG"), "maria [at] firma.es": ("email", "maria [at] firma.es"),
+        "contact john at example.com please": ("email", "john at example.com"), "my Visa is 4303.6245.6212.1775, thanks": ("card", "4303.6245.6212.1775"), "7536784127813051 4845168114407329 x": ("card", "4845168114407329"),
+        "Tel.: (030) 123-4567 oder": ("phone", "(030) 123-4567"), "server 10[.]0[.]0[.]12 is down": ("ip", "10[.]0[.]0[.]12"),
+    }
+    no = ["on 12.03.2024 we met", "order 12345678 of 2023-10-11", "look at home.Then he left", "1234-5678-1234-5678 is no phone", "total 1.234.567", "server 300[.]1[.]1[.]1", "version 10.2.1", "978-3-16-148410-1", "0.12345678", "he was at the table. Dot came", "", None]
+    got = {r["text"]: r["spans"] for r in frame(spark, [*yes, *no]).join(pii.detect_pii(frame(spark, [*yes, *no])).select("doc_id", "spans"), "doc_id").collect()}
+    for text, (kind, item) in yes.items():
+        assert got[text] == f"{kind}:{text.index(item)}:{text.index(item) + len(item)}", (text, got[text])
+    assert {t: got[t] for t in no} == dict.fromkeys(no, "")
+
+
+def test_pii_added_spans_on_held_out_examples(spark):
+    """Precision and recall of what the trees add, on made examples that neither the trees nor the thresholds saw."""
+    models = pii.fit(spark)
+    rows = pii.labelled(pii.examples(spark)).where("part = 4")
+    found = rows.select("kind", pii.verdict(F.col("x"), F.col("source"), models).alias("found")).groupBy("kind", "found").count().collect()
+    n = Counter({(r["kind"], r["found"]): r["count"] for r in found})
+    right = sum(c for (k, f), c in n.items() if f is not None and k == f)
+    assert right / sum(c for (_, f), c in n.items() if f is not None) >= 0.93
+    assert right / sum(c for (k, _), c in n.items() if k is not None) >= 0.75
+    for kind in pii.KINDS:
+        assert n[kind, kind] > 0.5 * sum(c for (k, _), c in n.items() if k == kind), kind
+
+
+def test_pii_trees(spark):
+    """The compiled model equals the plain one, and boosting separates what one feature and a pair of features decide."""
+    table = [((a, b), float(10 * (a == 1 and b < 2)), float(10 * (not (a == 1 and b < 2)))) for a in range(3) for b in range(4)]
+    model = pii.boost(table)
+    plain = {x: model[0] + sum(pii.evaluate(t, x) for t in model[1]) for x, _, _ in table}
+    assert all((plain[x] > 0) == (p > 0) for x, p, _ in table)
+    rows = spark.createDataFrame([(x,) for x, _, _ in table], "x struct<a:int,b:int>")
+    got = {tuple(r["x"]): r["s"] for r in rows.select("x", pii.compiled(model, ("a", "b"), F.col("x")).alias("s")).collect()}
+    assert all(abs(got[x] - plain[x]) < 1e-9 for x in plain)
+    assert pii.calibrated(model, table, 0.95) <= min(plain[x] for x, p, _ in table if p)
+    assert pii.calibrated(model, [(x, 1.0, 99.0) for x, _, _ in table], 0.95) == float("inf")
 
 
 def test_mixing(spark):
