@@ -327,30 +327,90 @@ def test_mixing_repeats_and_nulls(spark):
     assert mixing.mixed(docs.limit(0)).count() == 0
 
 
+def links_of(rows, cosine=0.93):
+    """Brute force: (vectors linked, component) of each row (id, vector, label)."""
+    n = len(rows)
+    usable = [v is not None and label is not None and all(x is not None and np.isfinite(x) for x in v) and any(v) for _, v, label in rows]
+    links = []
+    for key in {(len(v), label) for (_, v, label), u in zip(rows, usable) if u}:
+        own = [i for i in range(n) if usable[i] and (len(rows[i][1]), rows[i][2]) == key]
+        x = np.array([rows[i][1] for i in own], np.float32).astype(np.float64)
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        near = x @ x.T
+        links += [(own[i], own[j]) for i, j in zip(*np.nonzero(np.tril(near >= cosine, -1)))]
+    count = Counter(k for pair in links for k in pair)
+    order = sorted(range(n), key=lambda i: rows[i][0])
+    place = {i: k for k, i in enumerate(order)}
+    roots = union_find(n, [(place[a], place[b]) for a, b in links])
+    return [count[i] for i in range(n)], [rows[order[roots[place[i]]]][0] for i in range(n)], len(links)
+
+
 def test_embeddings(spark):
+    """Counts, components and kept rows against brute force, over clusters, chains, copies, dimensions and vectors that link with nothing."""
     from symgraph.llm.embed_dedup import embedding_links
 
     rng = np.random.default_rng(1)
-    x = rng.normal(size=(400, 16))
+    x = rng.normal(size=(700, 16))
     x[50:80] = x[0] + rng.normal(scale=0.05, size=(30, 16))
     x[100:105] = x[3]
     x[200:260] = x[200] + rng.normal(scale=0.17, size=(60, 16))
-    rows = [(i, [float(v) for v in v_], i % 2 if not 50 <= i < 80 else 0) for i, v_ in enumerate(x.astype(np.float32))]
-    odd = [(900, None, 0), (901, [0.0] * 16, 0), (902, [float("nan")] * 16, 0), (903, [None] + [1.0] * 15, 0), (904, [1.0] * 16, None), (905, [2.0, 1.0], 0), (906, [4.0, 2.0], 0)]
-    got = {r["vec_id"]: r for r in embedding_links(spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>, label int")).collect()}
-    unit = x.astype(np.float32).astype(np.float64)
-    unit /= np.linalg.norm(unit, axis=1)[:, None]
-    labels = np.array([r[2] for r in rows])
-    links = [(i, j) for i in range(400) for j in range(i) if labels[i] == labels[j] and unit[i] @ unit[j] >= 0.93]
-    want = Counter(k for pair in links for k in pair)
-    have = sum(got[i]["n_links"] for i in range(400))
-    assert all(got[i]["n_links"] <= want[i] for i in range(400)) and have >= 0.97 * 2 * len(links)
-    for i in (900, 901, 902, 903, 904):
+    for i in range(300, 360):  # a chain: each links with the next alone or so
+        x[i] = x[i - 1] + rng.normal(scale=0.3, size=16)
+    rows = [(i, [float(v) for v in v_], i % 2 if not 50 <= i < 80 and not 300 <= i < 360 else 0) for i, v_ in enumerate(x.astype(np.float32))]
+    y = rng.normal(size=(60, 5))
+    y[:30] = y[0] + rng.normal(scale=0.1, size=(30, 5))
+    rows += [(1000 + i, [float(v) for v in v_], 1) for i, v_ in enumerate(y.astype(np.float32))]
+    rows += [(900, None, 0), (901, [0.0] * 16, 0), (902, [float("nan")] * 16, 0), (903, [None] + [1.0] * 15, 0), (904, [1.0] * 16, None), (905, [2.0, 1.0], 0), (906, [4.0, 2.0], 0), (907, [float("inf")] * 16, 0), (908, [], 0), (909, [3.0], 0), (910, [5.0], 0), (911, [-1.0], 0)]
+    count, component, total = links_of(rows)
+    docs = spark.createDataFrame([(*r, "h", 1, "c", 2) for r in rows], "vec_id long, embedding array<float>, label int, hash string, id int, cls string, e int").repartition(3)
+    got = {r["vec_id"]: r for r in embedding_links(docs, recall=1.0).collect()}
+    assert len(got) == len(rows) and total > 1000
+    have = [got[r[0]] for r in rows]
+    assert all(h["n_links"] <= c for h, c in zip(have, count)) and sum(h["n_links"] for h in have) >= 0.995 * sum(count)
+    if [h["n_links"] for h in have] == count:
+        assert [h["component_id"] for h in have] == component
+    same = [h["component_id"] == c for h, c in zip(have, component)]
+    assert np.mean(same) > 0.99 and all(h["kept"] == (h["vec_id"] == h["component_id"]) for h in have)
+    for i in (900, 901, 902, 903, 904, 907, 908, 911):
         assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (0, i, True)
-    assert (got[906]["n_links"], got[906]["component_id"], got[906]["kept"]) == (1, 905, False)
+    assert (got[906]["n_links"], got[906]["component_id"], got[906]["kept"]) == (1, 905, False) and got[910]["component_id"] == 909
     assert embedding_links(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
+def test_embeddings_with_repeated_ids_and_rows(spark):
+    from symgraph.llm.embed_dedup import embedding_links
+
+    a, b, c = [1.0, 0.0, 0.0, 0.1], [1.0, 0.1, 0.0, 0.1], [0.0, 1.0, 1.0, 0.0]
+    rows = [(3, a, 0), (3, a, 0), (3, c, 0), (5, b, 0), (5, c, 1), (2, c, 0), (None, a, 0)]
+    got = sorted(map(tuple, embedding_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label long")).collect()), key=str)
+    assert got == sorted([(3, 2, 3, True), (3, 2, 3, True), (3, 1, 2, False), (5, 2, 3, False), (5, 0, 5, True), (2, 1, 2, True), (None, 0, None, True)], key=str)
+
+
+def test_embedding_blocks_and_recall(spark, monkeypatch):
+    """Small blocks give what one block gives, and the calibrated visits find partners at the bound."""
+    from symgraph.llm import embed_dedup
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3000, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    noise = rng.normal(size=(1000, 32))
+    noise -= (noise * x[:1000]).sum(axis=1)[:, None] * x[:1000]
+    noise /= np.linalg.norm(noise, axis=1)[:, None]
+    x[1000:2000] = 0.932 * x[:1000] + np.sqrt(1 - 0.932**2) * noise
+    x[2000:2300] = x[2000] + 0.02 * rng.normal(size=(300, 32))
+    rows = [(i, [float(v) for v in v_], 0) for i, v_ in enumerate(x.astype(np.float32))]
+    count, component, total = links_of(rows)
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    first = {r["vec_id"]: tuple(r) for r in embed_dedup.embedding_links(docs).collect()}
+    found = sum(first[i][1] for i in range(3000))
+    pairs = sum(first[i][1] > 0 for i in range(2000))
+    assert found <= 2 * total and all(first[i][1] <= count[i] for i in range(3000))
+    assert pairs >= 0.97 * 2000, pairs
+    monkeypatch.setattr(embed_dedup, "MEMBERS", 40)
+    monkeypatch.setattr(embed_dedup, "VISITORS", 70)
+    assert {r["vec_id"]: tuple(r) for r in embed_dedup.embedding_links(docs).collect()} == first
+
+
 def test_warc(spark):
     from symgraph.llm.warc import warc_round_trip
 
