@@ -83,14 +83,15 @@ def lookup(left: DataFrame, right: DataFrame, key: str, how: str = "left", count
 
 
 def dealt(keyed: DataFrame, sample: DataFrame, node: str, block: int, one_in: int = 64) -> DataFrame:
-    """``keyed(key, node)`` with ``salt`` and ``salts``: buckets of well over ``block`` rows are dealt into several of about that size.
+    """``keyed(key, node)`` with ``salt``, ``salts``, ``low`` and ``high``: buckets of well over ``block`` rows are dealt into several of about that size.
 
-    ``sample``: the same for nodes of which one in ``one_in`` is taken by a hash. It decides how rows are laid out, not which.
+    ``sample``: the same for nodes of which one in ``one_in`` is taken by a hash. It decides how rows are laid out, not which. Of a bucket that is dealt out,
+    ``low`` and ``high`` are two of its nodes, for all its parts to compare with, so that what belongs together is joined over the parts.
     """
-    some = sample.groupBy("key").agg(F.count("*").alias("_n")).where(F.col("_n") >= max(2, 2 * block // one_in))
-    large = stash(some.select("key", F.ceil(F.col("_n") * one_in / block).cast("int").alias("salts")), "large-buckets")
+    some = sample.groupBy("key").agg(F.count("*").alias("_n"), F.min(node).alias("low"), F.max(node).alias("high")).where(F.col("_n") >= max(2, 2 * block // one_in))
+    large = stash(some.select("key", F.ceil(F.col("_n") * one_in / block).cast("int").alias("salts"), "low", "high"), "large-buckets")
     salts = F.coalesce("salts", F.lit(1))
-    out = keyed.join(large, "key", "left").select(*keyed.columns, F.pmod(F.xxhash64(node), salts).cast("int").alias("salt"), salts.alias("salts"))
+    out = keyed.join(large, "key", "left").select(*keyed.columns, F.pmod(F.xxhash64(node), salts).cast("int").alias("salt"), salts.alias("salts"), "low", "high")
     out._scratch = large._scratch
     return out
 

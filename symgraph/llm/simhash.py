@@ -17,7 +17,7 @@ So linked fingerprints share at least one of about 95 keys of 33 bits, and unrel
 share any. Candidates are verified by their Hamming distance.
 
 Equal fingerprints are one node from the start. Within a bucket no list of all pairs is made: large buckets are
-dealt into parts, fingerprints are compared in order with their first and last few predecessors in the part, which is every pair
+dealt into parts, fingerprints are compared in order with their first and last few predecessors in the part, and with two of the whole bucket, which is every pair
 in buckets of up to ``LAGS + 1``; for larger ones, what those links leave in different components
 is compared across components only, block against block. That finds all components.
 """
@@ -151,11 +151,11 @@ def link_fingerprints(nodes: DataFrame, max_bits: int = 4) -> DataFrame:
     near = lambda other: hamming(F.col("fp"), F.col(other)) <= max_bits
     w = Window.partitionBy("key", "salt").orderBy("fp")
     keyed = dealt(_keyed(nodes), _keyed(nodes.where(one_in("fp"))), "fp", BLOCK)
-    seen = keyed.select("key", "fp", "salts", F.row_number().over(w).alias("n"), F.first("fp").over(w).alias("p0"), *[F.lag("fp", k).over(w).alias(f"p{k}") for k in range(1, LAGS + 1)], *[F.lead("fp", k).over(w).alias(f"s{k}") for k in range(1, LAGS + 2)])
+    seen = keyed.select("key", "fp", "salts", "low", "high", F.row_number().over(w).alias("n"), F.first("fp").over(w).alias("p0"), *[F.lag("fp", k).over(w).alias(f"p{k}") for k in range(1, LAGS + 1)], *[F.lead("fp", k).over(w).alias(f"s{k}") for k in range(1, LAGS + 2)])
     big = (F.col("salts") > 1) | (F.col("n") > LAGS + 1)
     for n in range(1, LAGS + 2):
         big = big | ((F.col("n") == n) & F.col(f"s{LAGS + 2 - n}").isNotNull())
-    to = F.array_compact(F.array(*[F.when((F.col("n") > 1) & near(f"p{k}"), F.col(f"p{k}")) for k in range(LAGS + 1)]))
+    to = F.array_compact(F.array(*[F.when((F.col("n") > 1) & near(f"p{k}"), F.col(f"p{k}")) for k in range(LAGS + 1)], *[F.when((F.col(k) != F.col("fp")) & near(k), F.col(k)) for k in ("low", "high")]))
     found = stash(seen.where("salts > 1 or n > 1 or s1 is not null").select("key", "fp", to.alias("to"), F.coalesce(big, F.lit(False)).alias("big")).where("big or size(to) > 0"), "simhash-buckets")
     edges = found.select(F.col("fp").alias("u"), F.explode("to").alias("v"))
     first = settle(connected_components(edges, "simhash-edges"), "simhash-first")
