@@ -49,21 +49,29 @@ class Engine:
     def __init__(self, spark: SparkSession, root: str, config: Config | None = None):
         self.spark, self.root, self.config = spark, root, config or Config()
         self.warehouse = Warehouse(spark, self.config.warehouse)
-        self._graph: SymGraph | None = None
+        self.watcher = Watcher(spark, self.warehouse, self.config.max_file_size, list(self.config.ignored))
+        self._graph: tuple[str | None, SymGraph] | None = None
 
     @property
     def graph(self) -> SymGraph:
-        if self._graph is None:
-            self._graph = build(self.warehouse.read())
-        return self._graph
+        """Of the current version: whoever wrote it, the next question sees it."""
+        version = self.warehouse.version()
+        if self._graph is None or self._graph[0] != version:
+            self._graph = version, build(self.warehouse.read(version))
+        return self._graph[1]
 
     def index(self) -> SymGraph:
-        self._graph = index_once(self.spark, self.root, self.warehouse)
-        return self._graph
+        return index_once(self.spark, self.root, self.warehouse, self.config.max_file_size, list(self.config.ignored))
 
     def rescan(self) -> dict[str, int]:
-        self._graph = None
-        return Watcher(self.spark, self.warehouse, self.config.max_file_size).rescan(self.root)
+        return self.watcher.rescan(self.root)
+
+    def watch(self, events: DataFrame, checkpoint: str):
+        """Catch up, then follow a stream of events until it is idle for the time that the settings allow."""
+        self.rescan()
+        query = self.watcher.start(events, checkpoint, self.config.debounce_seconds)
+        self.watcher.stop_when_idle(query, self.config.idle_minutes)
+        return query
 
     def ask(self, name: str, **a):
         action = _ACTION.get(name)

@@ -14,6 +14,7 @@ from .functions import text
 from .parsers import code, schema
 from .plans.graph import SymGraph, build, empty_facts
 from .sources import discovery
+from .sources.scratch import cut, drop
 
 _CHILDREN = {"contract_entities": ("fields", "contract_fields", "entity_id"), "storage_containers": ("attributes", "storage_attributes", "container_id")}
 
@@ -25,7 +26,7 @@ def _rows(path: str, content: str, language: str | None) -> Iterator[tuple[str,
     if language:
         p = code.parse(path, content, language)
         for table, rows in (("symbols", p.symbols), ("raw_calls", p.calls), ("raw_imports", p.imports), ("raw_heritage", p.heritage)):
-            yield from ((table, r) for r in rows)
+            yield from ((table, {**r, "file": path} if table == "raw_heritage" else r) for r in rows)
         yield "aliases", {"path": path, "library_aliases": p.aliases}
         if any(i["imported_path"].partition("/")[0].lstrip("@") in schema.MAPPERS for i in p.imports):
             containers = schema.parse_mongoose(path, content)
@@ -35,7 +36,7 @@ def _rows(path: str, content: str, language: str | None) -> Iterator[tuple[str,
         child, child_table, key = _CHILDREN[table]
         for o in owners:
             yield table, {k: v for k, v in o.items() if k != child}
-            yield from ((child_table, {"id": f"{o['id']}:{c['name']}", key: o["id"], **c}) for c in o[child])
+            yield from ((child_table, {"id": f"{o['id']}:{c['name']}", key: o["id"], "file": path, **c}) for c in o[child])
 
 
 def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -50,11 +51,16 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def facts(files: DataFrame) -> dict[str, DataFrame]:
-    """``files`` as ``discovery.scan`` gives them -> the fact tables; files with a reason other than ok are left out."""
+    """``files`` as ``discovery.scan`` gives them -> the fact tables; files with a reason other than ok are left out.
+
+    What was read and parsed is kept in the shared folder until ``release``: a cache would be found again by later scans of the same folder, whose files
+    may have changed since.
+    """
     spark = files.sparkSession
-    ok = files.where("reason = 'ok' and content is not null").persist()
+    ok = cut(files.where("reason = 'ok' and content is not null"), "files")
     is_doc = text.is_doc_file(F.col("path"))
-    parsed = ok.where(F.col("language").isNotNull() | discovery.is_schema_path(F.col("path"))).select("path", "content", "language").mapInPandas(_parse, "table string, row string").persist()
+    parsed = ok.where(F.col("language").isNotNull() | discovery.is_schema_path(F.col("path"))).select("path", "content", "language").mapInPandas(_parse, "table string, row string")
+    parsed = cut(parsed, "parsed")
     out = empty_facts(spark)
     of = lambda table, ddl: parsed.where(F.col("table") == table).select(F.from_json("row", ddl).alias("r")).select("r.*")
     for table in ("symbols", "raw_calls", "raw_imports", "raw_heritage", "contract_entities", "contract_fields", "storage_containers", "storage_attributes"):
@@ -66,10 +72,18 @@ def facts(files: DataFrame) -> dict[str, DataFrame]:
     out["documents"] = text.document_titles(docs)
     out["sections"] = text.sections(docs).withColumn("referenced_symbols", text.references(F.concat_ws("\n", "title", "content")))
     out["rules"] = text.rules(docs)
+    out["manifest"] = ok.select("path", "hash", "size", "mtime_ms")
     out["errors"] = of("errors", "path string, error string")
+    out["errors"].of_cut = ok, parsed
     return out
 
 
+def release(tables: dict[str, DataFrame]) -> None:
+    """Delete what ``facts`` kept; its tables can no longer be read."""
+    for old in tables["errors"].of_cut:
+        drop(old)
+
+
 def index(spark: SparkSession, root: str, **options) -> SymGraph:
     """Scan, parse, resolve and link a workspace."""
     return build(facts(discovery.scan(spark, root, custom=code.custom_extensions(), **options)))

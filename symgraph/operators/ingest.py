@@ -9,13 +9,11 @@ from ..schemas import PATH_KEY
 
 
 def delete_paths(facts: dict[str, DataFrame], paths: DataFrame) -> dict[str, DataFrame]:
-    """Facts without what came from ``paths(path)``; children of deleted entities, containers and symbols go too."""
+    """Facts without what came from ``paths(path)``: every table names the path of each row, so what other paths hold is not looked at."""
     gone, out = paths.select(F.col("path").alias("_gone")).distinct(), dict(facts)
     for name, key in PATH_KEY.items():
-        out[name] = facts[name].join(gone, facts[name][key] == F.col("_gone"), "left_anti")
-    for child, key, parent in (("contract_fields", "entity_id", "contract_entities"), ("storage_attributes", "container_id", "storage_containers"), ("raw_heritage", "sub_id", "symbols")):
-        kept = out[parent].select(F.col("id").alias("_kept")).distinct()
-        out[child] = facts[child].join(kept, facts[child][key] == F.col("_kept"), "left_semi")
+        if name in facts:
+            out[name] = facts[name].join(gone, facts[name][key] == F.col("_gone"), "left_anti")
     return out
 
 
@@ -66,7 +64,7 @@ def resolve_imports(raw: DataFrame, files: DataFrame) -> DataFrame:
 
 def resolve_heritage(raw: DataFrame, symbols: DataFrame) -> DataFrame:
     """Sub by id, or by the name or qname that its id ends in; super by name or qname, else external."""
-    rows = raw.distinct()
+    rows = raw.select("sub_id", "super_name", "rel").distinct()
     ids = symbols.select(F.col("id").alias("_id"))
     by_id = rows.join(ids, rows["sub_id"] == F.col("_id"), "left_semi")
     rest = rows.join(ids, rows["sub_id"] == F.col("_id"), "left_anti").withColumn("ref", F.regexp_extract("sub_id", r"([^:]+)(?::\d+)?$", 1))

@@ -28,7 +28,7 @@ def parse_unified_diff(text: str) -> list[dict]:
 
 
 def working_tree(folder: str, base: str | None = None) -> list[dict]:
-    """The diff against ``base`` or HEAD and untracked files; nothing if git fails."""
+    """The diff against ``base``, or against HEAD with untracked files; nothing if git fails."""
     run = lambda *a: subprocess.run(["git", "-C", folder, *a], capture_output=True, text=True, timeout=60)
     try:
         got = run("diff", base or "HEAD")
@@ -36,7 +36,7 @@ def working_tree(folder: str, base: str | None = None) -> list[dict]:
             got = run("diff")
         if got.returncode:
             return []
-        untracked = [x[3:] for x in run("status", "--porcelain").stdout.splitlines() if x.startswith("?? ")]
+        untracked = [] if base else [x[3:] for x in run("status", "--porcelain").stdout.splitlines() if x.startswith("?? ")]
     except (OSError, subprocess.SubprocessError):
         return []
     return parse_unified_diff(got.stdout) + [{"file": f, "change_type": "added", "start": None, "end": None} for f in untracked]

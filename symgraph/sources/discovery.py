@@ -23,7 +23,8 @@ MAX_FILE_SIZE = 1 << 20
 
 
 def is_ignored(path: Column, ignored: list[str] | None = None) -> Column:
-    names = "|".join(map(re.escape, ignored or IGNORED))
+    """In a folder that is never read, or in one of those named besides."""
+    names = "|".join(map(re.escape, [*IGNORED, *(ignored or [])]))
     return F.replace(path, F.lit("\\"), F.lit("/")).rlike(f"(?:^|/)(?:{names})(?:/|$)")
 
 

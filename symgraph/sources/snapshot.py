@@ -19,6 +19,7 @@ def unseen(fresh: DataFrame, manifest: DataFrame) -> DataFrame:
     return fresh.join(manifest.select("path", "hash").distinct(), ["path", "hash"], "left_anti")
 
 
-def last_events(events: DataFrame) -> DataFrame:
-    """``events(path, seq, event)`` -> the last of each path, with the number of events: what a debounced batch applies."""
-    return events.groupBy("path").agg(F.max_by("event", "seq").alias("event"), F.count("*").alias("events"), F.max("seq").alias("seq"))
+def last_events(events: DataFrame, *more: str) -> DataFrame:
+    """``events(path, seq, event)`` -> the last of each path, with the number of events and the columns named: what a debounced batch applies."""
+    last = events.groupBy("path").agg(F.max_by(F.struct("event", *more), "seq").alias("e"), F.count("*").alias("events"), F.max("seq").alias("seq"))
+    return last.select("path", F.col("e.event").alias("event"), "events", "seq", *[F.col(f"e.{c}").alias(c) for c in more])
