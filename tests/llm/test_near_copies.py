@@ -47,6 +47,39 @@ def test_near_copies(spark, texts):
     assert drop_near_copies(frame(spark, [])).count() == 0
 
 
+def test_shared_counts():
+    import numpy as np
+
+    from symgraph.llm.near_copies import shared_counts
+
+    rng = np.random.default_rng(3)
+    a, b = ([np.unique(rng.integers(-(2**62), 2**62, 5).repeat(1).tolist() + rng.integers(0, 60, n).tolist()).astype(np.int64) for n in sizes] for sizes in ((0, 1, 9, 40, 40), (30, 5, 0, 40)))
+    want = [[len(set(x.tolist()) & set(y.tolist())) for y in b] for x in a]
+    assert shared_counts(a, b, 7).tolist() == shared_counts(a, b).tolist() == want
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_large_groups_of_copies(spark, monkeypatch, small):
+    """Groups whose members resemble their model, and hardly each other; members of members; passages that many share; in buckets beyond all bounds."""
+    from symgraph.llm import near_copies
+
+    if small:  # parts, blocks and grids of a few rows
+        monkeypatch.setattr(near_copies, "BLOCK", 8)
+        monkeypatch.setattr(near_copies, "COMPARED", 10)
+    rng, out = random.Random(11), []
+    for g, n in enumerate((150, 60)):
+        base = " ".join(words(100 + g, 150))
+        out.append(base)
+        star = [edited(base, rng, 3) for _ in range(n)]
+        out += star + [edited(rng.choice(star), rng, 3) for _ in range(n // 3)]  # some of these resemble their own model alone
+    shared = " ".join(words(200, 60))
+    out += [shared + " " + " ".join(words(300 + i, 60)) for i in range(80)]  # alike, but not copies
+    rng.shuffle(out)
+    sets = [shingles(t) for t in out]
+    links = [(i, j) for i in range(len(out)) for j in range(i) if similar(sets[i], sets[j])]
+    assert sorted(r["doc_id"] for r in drop_near_copies(frame(spark, out)).collect()) == sorted(set(union_find(len(out), links)))
+
+
 def test_stage_drops_copies_at_the_bound(spark):
     import corpus_pipeline as cp
 
