@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -39,7 +40,8 @@ def _rows(path: str, content: str, language: str | None) -> Iterator[tuple[str,
             yield from ((child_table, {"id": f"{o['id']}:{c['name']}", key: o["id"], "file": path, **c}) for c in o[child])
 
 
-def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _parse(registered: tuple[dict, dict], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    code.adopt(*registered)
     for batch in batches:
         out = []
         for path, content, language in zip(batch["path"], batch["content"], batch["language"]):
@@ -59,7 +61,7 @@ def facts(files: DataFrame) -> dict[str, DataFrame]:
     spark = files.sparkSession
     ok = cut(files.where("reason = 'ok' and content is not null"), "files")
     is_doc = text.is_doc_file(F.col("path"))
-    parsed = ok.where(F.col("language").isNotNull() | discovery.is_schema_path(F.col("path"))).select("path", "content", "language").mapInPandas(_parse, "table string, row string")
+    parsed = ok.where(F.col("language").isNotNull() | discovery.is_schema_path(F.col("path"))).select("path", "content", "language").mapInPandas(partial(_parse, code.registered()), "table string, row string")
     parsed = cut(parsed, "parsed")
     out = empty_facts(spark)
     of = lambda table, ddl: parsed.where(F.col("table") == table).select(F.from_json("row", ddl).alias("r")).select("r.*")

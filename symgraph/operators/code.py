@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.graph import SymGraph, name_or_qname
@@ -112,10 +112,16 @@ def unused_symbols(g: SymGraph, limit: int | None = 50, include_exported: bool =
 
 
 def similar_functions(symbols: DataFrame, wanted: str | None = None, min_lines: int = 3, limit: int | None = 25) -> DataFrame:
-    """Pairs of functions or methods with the same structural hash; equal name and signature is Type-1."""
+    """The first pairs of functions or methods with the same structural hash; equal name and signature is Type-1.
+
+    Of the first ``limit`` pairs each has one of the first ``limit`` members of a group on the left, so no more are paired; a symbol's own pairs are linear in its group. Without
+    a limit and a symbol all pairs are made, as many as the squares of the groups: ``clone_members`` and ``clone_type_counts`` are linear.
+    """
     f = symbols.where("kind in ('function', 'method') and structural_hash is not null and structural_hash <> ''")
     a = f.where(F.col("end_line") - F.col("start_line") >= min_lines).select(*[F.col(c).alias(f"{c}_1") for c in ("id", "name", "qname", "file", "signature", "structural_hash")])
     b = f.select(*[F.col(c).alias(f"{c}_2") for c in ("id", "name", "qname", "file", "signature", "structural_hash")])
+    if limit is not None and wanted is None:
+        a = a.withColumn("_r", F.row_number().over(Window.partitionBy("structural_hash_1").orderBy("id_1"))).where(F.col("_r") <= limit).drop("_r")
     pairs = a.join(b, (F.col("structural_hash_1") == F.col("structural_hash_2")) & (F.col("id_1") < F.col("id_2")))
     if wanted is not None:
         pairs = pairs.where((F.col("name_1") == wanted) | (F.col("name_2") == wanted) | (F.col("qname_1") == wanted) | (F.col("qname_2") == wanted))
@@ -124,6 +130,27 @@ def similar_functions(symbols: DataFrame, wanted: str | None = None, min_lines:
     return out if limit is None else out.orderBy("id_1", "id_2").limit(limit)
 
 
+def _hashed(symbols: DataFrame, min_lines: int) -> DataFrame:
+    return symbols.where("kind in ('function', 'method') and structural_hash <> ''").where(F.col("end_line") - F.col("start_line") >= min_lines)
+
+
+def clone_members(symbols: DataFrame, min_lines: int = 3) -> DataFrame:
+    """``(id, first_id, members, clone_type)``: of each function that has clones the group's first one, and what kind of clone of it this one is."""
+    f = _hashed(symbols, min_lines)
+    groups = f.groupBy(F.col("structural_hash").alias("_h")).agg(F.count("*").alias("members"), F.min(F.struct("id", "name", "signature")).alias("_f")).where("members > 1")
+    met = f.join(groups, F.col("structural_hash") == F.col("_h"))
+    exact = (F.col("name") == F.col("_f.name")) & F.col("signature").eqNullSafe(F.col("_f.signature"))
+    return met.select("id", F.col("_f.id").alias("first_id"), "members", F.when(exact, "Type-1").otherwise("Type-2").alias("clone_type"))
+
+
+def clone_type_counts(symbols: DataFrame, min_lines: int = 3) -> DataFrame:
+    """``(clone_type, pairs)``: from the sizes of groups, by hash and by hash, name and signature; no pair is made."""
+    pairs = lambda *by: _hashed(symbols, min_lines).groupBy(*by).agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.expr("n * (n - 1) div 2")), F.lit(0)).alias("pairs"))
+    exact, every = pairs("structural_hash", "name", "signature"), pairs("structural_hash")
+    both = exact.select(F.lit("Type-1").alias("clone_type"), "pairs").unionByName(every.crossJoin(exact.select(F.col("pairs").alias("_e"))).select(F.lit("Type-2").alias("clone_type"), (F.col("pairs") - F.col("_e")).alias("pairs")))  # one row each
+    return both.where("pairs > 0")
+
+
 def clone_groups(symbols: DataFrame) -> DataFrame:
     """Sizes of groups of equal structural hash: linear where pairs would be quadratic."""
     f = symbols.where("kind in ('function', 'method') and structural_hash <> ''")

@@ -59,7 +59,7 @@ def detect_cycles(g: SymGraph, limit: int | None = 20, canonical: bool = False)
 def call_path(g: SymGraph, source: str, target: str, most: int = 12) -> DataFrame:
     """The shortest call path of 1 to ``most`` edges between any symbols of these names: one row or none."""
     ids = lambda wanted, column: g.symbols.where(name_or_qname(g.symbols, wanted)).select(F.col("id").alias(column))
-    found = shortest_paths(call_edges(g.calls), ids(source, "source"), ids(target, "target"), most)
+    found = shortest_paths(call_edges(g.calls), ids(source, "source"), ids(target, "target"), most, nearest=True)
     return found.orderBy("hops", F.array_join("path", ">")).limit(1)
 
 

@@ -42,6 +42,16 @@ def register(language: str, parse: Callable[[str, str], Parsed], extensions: tup
     _EXTENSIONS.update({e.lower().lstrip("."): language for e in extensions})
 
 
+def registered() -> tuple[dict[str, Callable[[str, str], Parsed]], dict[str, str]]:
+    """What has been registered in this process, to be sent along with a task."""
+    return dict(_REGISTRY), dict(_EXTENSIONS)
+
+
+def adopt(parsers: dict[str, Callable[[str, str], Parsed]], extensions: dict[str, str]) -> None:
+    _REGISTRY.update(parsers)
+    _EXTENSIONS.update(extensions)
+
+
 def custom_extensions() -> dict[str, str]:
     return dict(_EXTENSIONS)
 
@@ -208,7 +218,7 @@ LANGUAGES: dict[str, Language] = {
     "cpp": Language((("class", rf"^\s*(?:template\s*<[^{{;]*>\s*)?class\s+(?P<name>{_ID})(?:\s+final)?\s*(?::[^{{;]+)?\{{"), ("struct", rf"^\s*(?:template\s*<[^{{;]*>\s*)?struct\s+(?P<name>{_ID})\s*(?::[^{{;]+)?\{{"), ("enum", rf"^\s*enum\s+(?:class\s+)?(?P<name>{_ID})"), ("function", _C_FUNCTION)), (r"^\s*#\s*include\s+[<\"](?P<module>[^>\"]+)[>\"]",)),
     "ruby": Language((("class", r"^\s*class\s+(?P<name>[\w:]+)(?:\s*<\s*(?P<ext>[\w:]+))?"), ("module", r"^\s*module\s+(?P<name>[\w:]+)"), ("function", r"^\s*def\s+(?:self\.)?(?P<name>\w+[?!=]?)")), (r"^\s*require(?:_relative)?\s*\(?\s*['\"](?P<module>[^'\"]+)['\"]",), comments=r"#[^\n]*", ends="end"),
     "php": Language((("class", rf"(?:abstract\s+|final\s+)?(?:class|trait|enum)\s+(?P<name>{_ID})(?:\s+extends\s+(?P<ext>[\w\\]+))?(?:\s+implements\s+(?P<impl>[^{{]+))?"), ("interface", rf"interface\s+(?P<name>{_ID})(?:\s+extends\s+(?P<ext>[^{{]+))?"), ("function", rf"^\s*(?:(?:public|private|protected|static|abstract|final)\s+)*function\s+&?(?P<name>{_ID})\s*\(")), (r"^\s*use\s+(?P<module>[\w\\]+)(?:\s+as\s+(?P<what>\w+))?\s*;",), comments=r"//[^\n]*|/\*.*?\*/|#(?!\[)[^\n]*", exported=lambda head, name: "private" not in head),
-    "kotlin": Language((("class", rf"(?:\w+\s+)*?(?:class|object)\s+(?P<name>{_ID})(?:<[^{{]*?>)?(?:\s*\([^)]*\))?(?:\s*:\s*(?P<ext>[^{{\n]+))?"), ("interface", rf"interface\s+(?P<name>{_ID})(?:\s*:\s*(?P<ext>[^{{\n]+))?"), ("function", rf"(?:\w+\s+)*?fun\s+(?:<[^>]*>\s*)?(?:\w+\.)?(?P<name>{_ID})\s*\(")), (r"^\s*import\s+(?P<module>[\w.*]+)",), exported=lambda head, name: "private" not in head),
+    "kotlin": Language((("class", rf"^[ \t]*(?:\w+[ \t]+)*?(?:class|object)\s+(?P<name>{_ID})(?:<[^{{]*?>)?(?:\s*\([^)]*\))?(?:\s*:\s*(?P<ext>[^{{\n]+))?"), ("interface", rf"interface\s+(?P<name>{_ID})(?:\s*:\s*(?P<ext>[^{{\n]+))?"), ("function", rf"^[ \t]*(?:\w+[ \t]+)*?fun\s+(?:<[^>]*>\s*)?(?:\w+\.)?(?P<name>{_ID})\s*\(")), (r"^\s*import\s+(?P<module>[\w.*]+)",), exported=lambda head, name: "private" not in head),
     "solidity": Language((("class", rf"(?:abstract\s+)?(?:contract|library)\s+(?P<name>{_ID})(?:\s+is\s+(?P<ext>[^{{]+))?"), ("interface", rf"interface\s+(?P<name>{_ID})(?:\s+is\s+(?P<ext>[^{{]+))?"), ("function", rf"function\s+(?P<name>{_ID})\s*\(")), (r"^\s*import\s+[^'\"]*['\"](?P<module>[^'\"]+)['\"]",)),
     "lua": Language((("function", r"^\s*(?:local\s+)?function\s+(?P<name>[\w.:]+)\s*\("), ("function", r"^\s*(?:local\s+)?(?P<name>[\w.]+)\s*=\s*function\s*\(")), (), comments=r"--\[\[.*?\]\]|--[^\n]*", ends="end", exported=lambda head, name: not re.match(r"\s*local\b", head)),
     "zig": Language((("function", rf"^\s*(?:pub\s+)?(?:export\s+|inline\s+)?fn\s+(?P<name>{_ID})\s*\("),), (r"@import\(\"(?P<module>[^\"]+)\"\)",), exported=lambda head, name: "pub " in head),
@@ -236,7 +246,10 @@ def _patterns(path: str, content: str, language: str) -> Parsed:
                 continue
             taken.add(m.start("name"))
             at = m.start() + len(m.group()) - len(m.group().lstrip())
-            found.append([at, _end(masked, lines, m, lang.ends, starts, line_of), kind, name, m])
+            end = _end(masked, lines, m, lang.ends, starts, line_of)
+            if language == "rust" and kind == "function" and masked[end - 1 : end] == ";":
+                continue  # a trait's signature without a body
+            found.append([at, end, kind, name, m])
     found.sort(key=lambda x: (x[0], -x[1]))
     open_: list = []
     callers = []
@@ -285,7 +298,8 @@ def _patterns(path: str, content: str, language: str) -> Parsed:
                 out.calls.append({"caller_id": inside[-1][2], "callee_name": m[3], "callee_qname": f"{m[2]}.{m[3]}" if m[2] else m[3], "file": path, "line": line_of(m.start(3))})
     for pattern in lang.imports:
         for m in re.finditer(pattern, content, re.M):
-            if masked[m.start() : m.start("module")].strip() == "" and content[m.start() : m.start("module")].strip():
+            first = m.start() + len(m.group()) - len(m.group().lstrip())
+            if masked[first] == " " and content[first] not in "\"'`":
                 continue  # inside a comment or string
             out.imports.append(_import(path, *_imported(language, m["module"].strip(), (m.groupdict().get("what") or "").strip())))
     return out

@@ -51,11 +51,11 @@ def reach(edges: DataFrame, seeds: DataFrame, depth: int, backwards: bool = Fals
     return _union(out).groupBy("seed", "node").agg(F.min("depth").alias("depth"))
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, targets: DataFrame, most: int = 12) -> DataFrame:
+def shortest_paths(edges: DataFrame, sources: DataFrame, targets: DataFrame, most: int = 12, nearest: bool = False) -> DataFrame:
     """``(source, target, hops, path)``: of each pair of a source and a target that is reachable over 1 to ``most`` edges, the least path.
 
     ``sources(source)``, ``targets(target)``. Breadth first, a node keeps the first path by node order; of ties the least in node order wins.
-    The loop ends early once a level finds nothing new. Each level is written to the shared folder: a level's plan names
+    The loop ends early once a level finds nothing new, or, with ``nearest``, once it meets any target: only the least distance is asked for then. Each level is written to the shared folder: a level's plan names
     the one before and all seen, so plans over plans would double with every level.
     """
     hop = edges.select(F.col("src").alias("_a"), F.col("dst").alias("_b"))
@@ -69,6 +69,8 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, targets: DataFrame, mos
         if now.isEmpty():
             break
         levels.append(now.withColumn("hops", F.lit(k)))
+        if nearest and not now.join(targets, F.col("node") == F.col("target"), "left_semi").isEmpty():
+            break
     found = _union(levels) if levels else now.withColumn("hops", F.lit(0))
     return found.join(targets, F.col("node") == F.col("target")).select("source", "target", "hops", "path")
 

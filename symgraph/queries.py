@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import rendered
 from .functions import names, text
 from .operators import code, impact, ingest, knowledge, link, porting, storage
 from .plans.graph import SymGraph
@@ -181,40 +182,40 @@ def blast_risk(s, d):
     return impact.blast_radius(graph(s, d), WANTED, 3)["risk"].drop("tests")
 
 
-@query("reach_min_depth", """with recursive r as (select distinct src as seed, src as node, 0 as depth from calls where src % 97 = 5 union select seed, c.dst, depth + 1 from r join calls c on c.src = node where depth < 3)
+@query("reach_min_depth", """with recursive r as (select distinct src as seed, src as node, 0 as depth from calls union select seed, c.dst, depth + 1 from r join calls c on c.src = node where depth < 3)
 select seed, node, min(depth) as depth from r where depth > 0 group by all""", "calls")
 def reach_min_depth(s, d):
     e = g_edges(s, d)
-    return reach(e, e.where("src % 97 = 5").select(F.col("src").alias("seed")).distinct(), 3)
+    return reach(e, e.select(F.col("src").alias("seed")).distinct(), 3)
 
 
-@query("trails_d3", """with recursive r as (select src as seed, dst as node, 1 as depth, [src || '>' || dst] as e from calls where src % 97 = 5 union all select seed, c.dst, depth + 1, list_append(e, c.src || '>' || c.dst) from r join calls c on c.src = node where depth < 3 and not list_contains(e, c.src || '>' || c.dst))
+@query("trails_d3", """with recursive r as (select src as seed, dst as node, 1 as depth, [src || '>' || dst] as e from calls union all select seed, c.dst, depth + 1, list_append(e, c.src || '>' || c.dst) from r join calls c on c.src = node where depth < 3 and not list_contains(e, c.src || '>' || c.dst))
 select seed, node, depth, count(*)::bigint as paths from r group by all""", "calls")
 def trails_d3(s, d):
     e = g_edges(s, d)
-    seeds = e.where("src % 97 = 5").select(F.col("src").alias("seed")).distinct()
+    seeds = e.select(F.col("src").alias("seed")).distinct()
     return trails(e, seeds, 3).groupBy("seed", "node", "depth").agg(F.count("*").alias("paths"))
 
 
-@query("call_path_shortest", """with recursive r as (select distinct src as source, src as node, 0 as hops from calls where src % 97 = 5 union select source, c.dst, hops + 1 from r join calls c on c.src = node where hops < 6)
+@query("call_path_shortest", """with recursive r as (select distinct src as source, src as node, 0 as hops from calls union select source, c.dst, hops + 1 from r join calls c on c.src = node where hops < 12)
 select source, node as target, min(hops) as hops from r where hops > 0 group by all""", "calls")
 def call_path_shortest(s, d):
     e = cut(g_edges(s, d), "edges")
     nodes = e.select(F.col("dst").alias("target")).distinct()
-    return shortest_paths(e, e.where("src % 97 = 5").select(F.col("src").alias("source")).distinct(), nodes, 6).select("source", "target", "hops")
+    return shortest_paths(e, e.select(F.col("src").alias("source")).distinct(), nodes, 12).select("source", "target", "hops")
 
 
-_CYCLES = "with recursive r as (select src as first, dst as node, 1 as length, [src || '>' || dst] as e, [src, dst] as n from imp union all select first, i.dst, length + 1, list_append(e, i.src || '>' || i.dst), list_append(n, i.dst) from r join imp i on i.src = node where length < 4 and not list_contains(e, i.src || '>' || i.dst)) select length, array_to_string(n, '>') as nodes from r where node = first and length >= 2"
+_CYCLES = "with recursive r as (select src as first, dst as node, 1 as length, [src || '>' || dst] as e, [src, dst] as n from imp union all select first, i.dst, length + 1, list_append(e, i.src || '>' || i.dst), list_append(n, i.dst) from r join imp i on i.src = node where length < 6 and not list_contains(e, i.src || '>' || i.dst)) select length, array_to_string(n, '>') as nodes from r where node = first and length >= 2"
 
 
 @query("import_cycles", _CYCLES, "imp")
 def import_cycles(s, d):
-    return cycles(g_import_keys(s, d), 2, 4).select("length", F.array_join(F.transform("nodes", lambda x: x.cast("string")), ">").alias("nodes"))
+    return cycles(g_import_keys(s, d), 2, 6).select("length", F.array_join(F.transform("nodes", lambda x: x.cast("string")), ">").alias("nodes"))
 
 
 @query("import_cycles_canonical", _CYCLES + " and first = list_min(n)", "imp")
 def import_cycles_canonical(s, d):
-    return cycles(g_import_keys(s, d), 2, 4, canonical=True).select("length", F.array_join(F.transform("nodes", lambda x: x.cast("string")), ">").alias("nodes"))
+    return cycles(g_import_keys(s, d), 2, 6, canonical=True).select("length", F.array_join(F.transform("nodes", lambda x: x.cast("string")), ">").alias("nodes"))
 
 
 _NAMES = "contains(t.path, replace(s.path, '.ts', '.test.ts')) or contains(t.path, replace(s.path, '.js', '.test.js')) or contains(t.path, replace(s.path, '.go', '_test.go')) or contains(t.path, replace(s.path, '.py', '_test.py')) or contains(t.path, 'test_' || s.path)"
@@ -251,11 +252,6 @@ def subtypes(s, d):
     return code.subtypes(graph(s, d), "red widget")
 
 
-@query("heritage_external", "select super_name, rel, count(*)::bigint as subtypes from her where is_external group by all", "her")
-def heritage_external(s, d):
-    return g_heritage(s, d).where("is_external").groupBy("super_name", "rel").agg(F.count("*").alias("subtypes"))
-
-
 @query("search_symbols", "select id, name, qname from sym where contains(lower(name), 'ring') or contains(lower(qname), 'ring') order by length(name), name, file, start_line, id limit 25", "sym")
 def search_symbols(s, d):
     return code.search_symbols(g_symbols(s, d), "RING").select("id", "name", "qname")
@@ -317,9 +313,14 @@ def _bodies(s, d):
 VIEWS["bod"] = "select doc_id as id, source as name, lang as file, substr(sha256(lower(text)), 1, 16) as h from documents"
 
 
-@query("clone_pairs", "select a.id as id_1, b.id as id_2, a.name as name_1, b.name as name_2, a.file as file_1, b.file as file_2, case when a.name = b.name then 'Type-1' else 'Type-2' end as clone_type, case when a.name = b.name then 100 else 95 end as similarity from bod a join bod b on a.h = b.h and a.id < b.id", "bod")
-def clone_pairs(s, d):
-    return code.similar_functions(_bodies(s, d), limit=None)
+@query("clone_members", "select b.id, first_id, members, case when b.name = f.name then 'Type-1' else 'Type-2' end as clone_type from bod b join (select h, count(*)::bigint as members, min(id) as first_id from bod group by h having count(*) > 1) g on g.h = b.h join bod f on f.id = first_id", "bod")
+def clone_members(s, d):
+    return code.clone_members(_bodies(s, d))
+
+
+@query("clone_pairs_top", "select a.id as id_1, b.id as id_2, a.name as name_1, b.name as name_2, case when a.name = b.name then 'Type-1' else 'Type-2' end as clone_type, case when a.name = b.name then 100 else 95 end as similarity from bod a join bod b on a.h = b.h and a.id < b.id order by id_1, id_2 limit 25", "bod")
+def clone_pairs_top(s, d):
+    return code.similar_functions(_bodies(s, d)).drop("file_1", "file_2")
 
 
 @query("clone_groups", "select h as structural_hash, count(*)::bigint as members, min(id) as first_id from bod group by h having count(*) > 1", "bod")
@@ -329,7 +330,7 @@ def clone_groups(s, d):
 
 @query("clone_type_counts", "select case when a.name = b.name then 'Type-1' else 'Type-2' end as clone_type, count(*)::bigint as pairs from bod a join bod b on a.h = b.h and a.id < b.id group by all", "bod")
 def clone_type_counts(s, d):
-    return code.similar_functions(_bodies(s, d), limit=None).groupBy("clone_type").agg(F.count("*").alias("pairs"))
+    return code.clone_type_counts(_bodies(s, d))
 
 
 @query("dice_similarity", """with p as (select a.item_id as pair, a.text as a, b.text as b from benchmark a join benchmark b on b.item_id = a.item_id + 1),
@@ -356,17 +357,6 @@ VIEWS["lin"] = "select path, unnest(range(1, len(l) + 1))::integer as line, unne
 _NEEDS["lin"] = ["doc"]
 
 
-@query("knowledge_search_sections", "select path, line as start_line, substr(text, 1, 300) as snippet from lin where contains(text, 'token')", "lin")
-def knowledge_search_sections(s, d):
-    m = _sections(s, d)
-    return m.where(F.col("title").contains("token") | F.col("content").contains("token")).select(F.col("document_path").alias("path"), "start_line", F.substring("content", 1, 300).alias("snippet"))
-
-
-@query("knowledge_search_rules", "select path || ':rule:' || line as id, trim(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) as content from lin where contains(text, 'license') and (contains(text, 'under') or contains(text, 'may'))", "lin")
-def knowledge_search_rules(s, d):
-    return text.rules(_docs(s, d), musts=("under",), shoulds=("may",)).where(F.col("content").contains("license")).select("id", F.trim("content").alias("content"))
-
-
 @query("knowledge_doc_rank", "select path, case when path = '3.md' then 0 when ends_with(path, '/3.md') then 2 end as rank from doc where path = '3.md' or ends_with(path, '/3.md') order by rank, path limit 1", "doc")
 def knowledge_doc_rank(s, d):
     return knowledge.find_document(_docs(s, d).select("path", F.col("path").alias("title")), "3.md").select("path", "rank")
@@ -377,24 +367,6 @@ def doc_category(s, d):
     return table(s, d, "pages").groupBy(text.doc_category(F.col("url")).alias("category")).agg(F.count("*").alias("pages"))
 
 
-@query("section_split", r"""with h as (select path, line, text, regexp_matches(regexp_replace(text, '^\s+|\s+$', '', 'g'), '^Licensed.') as is_h from lin), n as (select *, sum(is_h::int) over (partition by path order by line) as s from h)
-select path as document_path, min(line) as start_line, max(line) as end_line from n group by path, s having s > 0 or regexp_replace(string_agg(text, chr(10) order by line), '^\s+|\s+$', '', 'g') <> ''""", "lin")
-def section_split(s, d):
-    return text.sections(_docs(s, d), r"^(L)(icensed.+)$").select("document_path", "start_line", "end_line")
-
-
-@query("rule_extract", r"""select path as source_doc, path || ':rule:' || line as id, case when contains(t, 'token') then 'must' else 'should' end as priority from (select path, line, regexp_replace(text, '^\s+|\s+$', '', 'g') as t from lin) where contains(t, 'token') or contains(t, 'license') or starts_with(t, 'RULE:') or starts_with(t, '- [ ]') or starts_with(t, '- **Rule')""", "lin")
-def rule_extract(s, d):
-    return text.rules(_docs(s, d), musts=("token",), shoulds=("license",)).select("source_doc", "id", "priority")
-
-
-@query("reference_extract", r"""select path, x as reference from (select path, unnest(list_distinct(regexp_extract_all(content, '([A-Za-z0-9]+)@mail[0-9]', 1))) as x from doc) where length(x) > 2 or length(x) > 0""", "doc")
-def reference_extract(s, d):
-    found = text.references(F.col("content"), quoted=r"([A-Za-z0-9]+)@mail[0-9]", camel=r"(\z.)", called=r"(\z.)")
-    short = F.array_distinct(F.concat(found, F.filter(F.regexp_extract_all("content", F.lit(r"([A-Za-z0-9]+)@mail[0-9]"), F.lit(1)), lambda x: F.length(x) <= 2)))
-    return _docs(s, d).select("path", F.explode(short).alias("reference"))
-
-
 @query("doc_symbol_link", """with w as (select path, unnest(list_distinct(string_split(content, ' '))) as w from doc), m as (select item_id as id, string_split(text, ' ') as l from benchmark)
 select path as section_id, id as symbol_id from w join m on w = l[1] union select path, id from w join m on w = l[-1]""", "doc")
 def doc_symbol_link(s, d):
@@ -478,13 +450,6 @@ def migration_impact(s, d):
     return storage.storage_migration_impact(g, "orders", "in", "drop", limit=None)["risk"].drop("tests")
 
 
-@query("json_schema_fields", "select key as field, json_type(props, '$.' || key) as raw_type, count(*)::bigint as events from (select props, unnest(json_keys(props)) as key from events) group by all")
-def json_schema_fields(s, d):
-    m = table(s, d, "events").select(F.explode(F.from_json("props", "map<string,string>")).alias("field", "v"))
-    kind = F.when(F.col("v").rlike(r"^\d+$"), "UBIGINT").when(F.col("v").rlike(r"^-\d+$"), "BIGINT").when(F.col("v").rlike(r"^-?\d+\.\d+"), "DOUBLE").otherwise("VARCHAR")
-    return m.groupBy("field", kind.alias("raw_type")).agg(F.count("*").alias("events"))
-
-
 @query("url_imports", """select page_id, h as imported_path from (select page_id, unnest(list_distinct(regexp_extract_all(html, '<a href="([^"]*)"', 1))) as h from pages)""")
 def url_imports(s, d):
     p = table(s, d, "pages")
@@ -562,15 +527,9 @@ def manifest_dedup(s, d):
     return snapshot.unseen(new, old).select("path")
 
 
-@query("stream_micro_batch", "select user_id as path, max_by(event_type, event_id) as event, count(*)::bigint as events from events group by all")
-def stream_micro_batch(s, d):
-    e = table(s, d, "events").select(F.col("user_id").alias("path"), F.col("event_id").alias("seq"), F.col("event_type").alias("event"))
-    return snapshot.last_events(e).select("path", "event", "events")
-
-
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return _QUERIES | rendered.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return _SQL | rendered.SQL

@@ -3,6 +3,7 @@
 import os
 import random
 
+import pandas as pd
 import pytest
 
 from symgraph import queries
@@ -12,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def _rows(df, columns):
-    plain = lambda v: None if v is None or v != v else float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else bool(v) if type(v).__name__ == "bool_" else v if isinstance(v, (str, bool)) else float(v)
+    plain = lambda v: None if pd.isna(v) else float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else bool(v) if type(v).__name__ == "bool_" else v if isinstance(v, (str, bool)) else float(v)
     return sorted((tuple(map(plain, r)) for r in df[columns].astype(object).values.tolist()), key=repr)
 
 
