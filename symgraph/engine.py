@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .config import Config
 from .operators import code, impact, knowledge, porting, storage
 from .parsers.diff import HUNKS, working_tree
-from .plans import sqlapi
+from .plans import pattern, sqlapi
 from .plans.graph import SymGraph, build
 from .render import render
 from .sources.warehouse import Warehouse
@@ -157,4 +157,4 @@ class Engine:
 
     def _cypher(self, query: str, **parameters) -> DataFrame:
         """A pattern query if it begins with MATCH, else SQL over the views."""
-        return (sqlapi.match if query.lstrip().upper().startswith("MATCH") else sqlapi.sql)(self.spark, self.graph, query, **parameters)
+        return (pattern.match if query.lstrip().upper().startswith("MATCH") else sqlapi.sql)(self.spark, self.graph, query, **parameters)

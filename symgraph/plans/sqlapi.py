@@ -1,23 +1,11 @@
-"""Ad-hoc questions: SQL over views of the graph, and a small pattern language that is translated to it."""
+"""Ad-hoc questions in SQL, over views of the graph; the pattern language is in ``pattern``."""
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 
 from .graph import SymGraph
 
-#: Labels and edge types of patterns: view, and for edges the columns that hold their ends and the ends' key.
-NODES = {"File": ("files", "path"), "Symbol": ("symbols", "id"), "Document": ("documents", "path"), "DocSection": ("sections", "id"), "Rule": ("rules", "id"), "ContractEntity": ("contract_entities", "id"), "ContractField": ("contract_fields", "id"), "StorageContainer": ("storage_containers", "id"), "StorageAttribute": ("storage_attributes", "id")}
-EDGES = {
-    "CALLS": ("calls", "src_id", "dst_id"), "IMPORTS": ("imports", "src_path", "dst_path"), "EXTENDS": ("heritage", "sub_id", "super_id"), "IMPLEMENTS": ("heritage", "sub_id", "super_id"),
-    "DOCUMENTS": ("documents_edges", "section_id", "symbol_id"), "TESTS_FOR": ("tests_for", "test_path", "src_path"), "GOVERNS": ("governs", "rule_id", "symbol_id"),
-    "CONTAINS": ("symbols", "file", "id"), "HAS_SECTION": ("sections", "document_path", "id"), "HAS_RULE": ("rules", "source_doc", "id"), "HAS_FIELD": ("contract_fields", "entity_id", "id"), "HAS_ATTRIBUTE": ("storage_attributes", "container_id", "id"),
-}
-_PROPERTIES = {"startLine": "start_line", "endLine": "end_line", "isExported": "is_exported", "isTest": "is_test", "structuralHash": "structural_hash", "lineCount": "line_count", "sourceDoc": "source_doc", "documentPath": "document_path", "rawType": "raw_type", "dataType": "data_type", "calleeName": "callee_name", "count": "cnt"}
-
-
 def register_views(g: SymGraph, prefix: str = "") -> list[str]:
     for name, table in g.tables().items():
         table.createOrReplaceTempView(prefix + name)
@@ -28,90 +16,3 @@ def sql(spark: SparkSession, g: SymGraph, text: str, **parameters) -> DataFrame:
     """Spark SQL over the graph's tables, with named parameters ``:x``."""
     register_views(g)
     return spark.sql(text, args=parameters)
-
-
-def _value(text: str) -> str:
-    """A condition or expression of the pattern language in SQL."""
-    text = re.sub(r"\$(\w+)", r":\1", text)
-    text = re.sub(r"([\w.]+|\w+\([^()]*\))\s+CONTAINS\s+([\w.:']+|'[^']*')", r"contains(\1, \2)", text, flags=re.I)
-    text = re.sub(r"([\w.]+|\w+\([^()]*\))\s+STARTS\s+WITH\s+('[^']*'|[\w.:]+)", r"startswith(\1, \2)", text, flags=re.I)
-    text = re.sub(r"([\w.]+|\w+\([^()]*\))\s+ENDS\s+WITH\s+('[^']*'|[\w.:]+)", r"endswith(\1, \2)", text, flags=re.I)
-    text = re.sub(r"\btoLower\(", "lower(", text)
-    text = re.sub(r"\bsize\((\w+\.\w+)\)", r"length(\1)", text)
-    text = re.sub(r"\bcollect\(", "collect_list(", text)
-    text = re.sub(r"\bIN\s+\[([^\]]*)\]", r"IN (\1)", text)
-    return re.sub(r"\b(\w+)\.(\w+)\b", lambda m: f"{m[1]}.{_PROPERTIES.get(m[2], m[2])}", text)
-
-
-_NODE = r"\(\s*(\w*)\s*(?::(\w+))?\s*(?:\{([^}]*)\})?\s*\)"
-_EDGE = r"(<)?-\[\s*(\w*)\s*:?([\w|]*)\s*(?:\*(\d+)\.\.(\d+))?\s*\]-(>)?"
-
-
-def translate(text: str) -> str:
-    """``MATCH (a:Label {k: v})-[r:TYPE]->(b) [, ...] [WHERE [NOT pattern] ...] RETURN [DISTINCT] ... [ORDER BY ...] [LIMIT n]`` as SQL.
-
-    Read-only. Patterns are joined; edges of several types are unioned; bounded lengths are unrolled (nodes may repeat, edges not checked beyond that).
-    """
-    m = re.fullmatch(r"\s*((?:MATCH\s+.*?)+)(?:\s+WHERE\s+(.*?))?\s+RETURN\s+(DISTINCT\s+)?(.*?)(?:\s+ORDER\s+BY\s+(.*?))?(?:\s+LIMIT\s+(\d+))?\s*;?\s*", text, re.S | re.I)
-    if not m:
-        raise ValueError("this form of query is not supported; use SQL over the views")
-    tables: list[str] = []
-    where: list[str] = []
-    labels: dict[str, str] = {}
-    fresh = iter(range(1000))
-
-    def node(alias: str, label: str, properties: str, into: list[str], conditions: list[str]) -> str:
-        alias = alias or f"n{next(fresh)}"
-        if alias not in labels:
-            labels[alias] = label or "Symbol"
-            into.append(f"{NODES[labels[alias]][0]} {alias}")
-        for key, value in re.findall(r"(\w+)\s*:\s*('[^']*'|\$\w+|[\w.]+)", properties or ""):
-            conditions.append(_value(f"{alias}.{key} = {value}"))
-        return alias
-
-    def pattern(part: str, into: list[str], conditions: list[str]) -> None:
-        at = re.match(rf"\s*(?:\w+\s*=\s*)?{_NODE}", part)
-        if not at:
-            raise ValueError(f"pattern not understood: {part.strip()}")
-        left, part = node(*at.groups(), into, conditions), part[at.end() :]
-        while step := re.match(rf"\s*{_EDGE}\s*{_NODE}", part):
-            back, name, kinds, low, high, _, *other = step.groups()
-            kinds = (kinds or "CALLS").split("|")
-            right, edge = node(*other, into, conditions), name or f"e{next(fresh)}"
-            rows = " UNION ALL ".join(f"SELECT {EDGES[k][1]} AS _src, {EDGES[k][2]} AS _dst, *" + f" FROM {EDGES[k][0]}" + (f" WHERE rel = '{k.lower()}'" if k in ("EXTENDS", "IMPLEMENTS") else "") for k in kinds)
-            if high:
-                pairs = " UNION ALL ".join(f"SELECT {EDGES[k][1]} AS _src, {EDGES[k][2]} AS _dst FROM {EDGES[k][0]}" for k in kinds)
-                hops = [f"SELECT s1._src, s{n}._dst, {n} AS depth FROM " + " JOIN ".join(f"({pairs}) s{i}" + (f" ON s{i}._src = s{i - 1}._dst" if i > 1 else "") for i in range(1, n + 1)) for n in range(int(low), int(high) + 1)]
-                rows = " UNION ALL ".join(hops)
-            into.append(f"({rows}) {edge}")
-            a, b = (right, left) if back else (left, right)
-            conditions += [f"{edge}._src = {a}.{NODES[labels[a]][1]}", f"{edge}._dst = {b}.{NODES[labels[b]][1]}"]
-            left, part = right, part[step.end() :]
-        if part.strip().startswith(","):
-            pattern(part.strip()[1:], into, conditions)
-
-    for part in re.split(r"\bMATCH\b", m[1], flags=re.I)[1:]:
-        pattern(part, tables, where)
-    outer = dict(labels)
-    for term in re.split(r"\s+AND\s+(?![^(]*\))", m[2], flags=re.I) if m[2] else []:
-        negated = re.match(r"\s*NOT\s+(\(.*\).*-.*\(.*\))\s*$", term, re.S | re.I)
-        if negated:
-            inner: list[str] = []
-            conditions: list[str] = []
-            pattern(negated[1], inner, conditions)
-            where.append(f"NOT EXISTS (SELECT 1 FROM {', '.join(inner)} WHERE {' AND '.join(conditions)})")
-            labels.clear()
-            labels.update(outer)
-        else:
-            where.append(f"({_value(term)})")
-    items = [_value(x) for x in re.split(r",(?![^(]*\))", m[4])]
-    names = [x if re.search(r"\bAS\b", x, re.I) else f"{x.strip()} AS {re.sub(r'[^A-Za-z0-9_]+', '_', x.strip()).strip('_')}" for x in items]
-    counted = [re.search(r"\b(?:count|collect_list|sum|min|max|avg)\(", x) for x in items]
-    out = f"SELECT {'DISTINCT ' if m[3] else ''}{', '.join(names)} FROM {', '.join(tables)}" + (f" WHERE {' AND '.join(where)}" if where else "")
-    if any(counted) and not all(counted):
-        out += " GROUP BY " + ", ".join(re.sub(r"\s+AS\s+.*", "", x, flags=re.I | re.S) for x, c in zip(items, counted) if not c)
-    return out + (f" ORDER BY {_value(m[5])}" if m[5] else "") + (f" LIMIT {m[6]}" if m[6] else "")
-
-
-def match(spark: SparkSession, g: SymGraph, text: str, **parameters) -> DataFrame:
-    return sql(spark, g, translate(text), **parameters)

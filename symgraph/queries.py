@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from . import rendered
 from .functions import names, text
 from .operators import code, impact, ingest, knowledge, link, porting, storage
+from .plans import pattern
 from .plans.graph import SymGraph
 from .plans.traverse import cycles, reach, shortest_paths, trails
 from .sources import discovery, snapshot
@@ -527,6 +528,24 @@ def manifest_dedup(s, d):
     return snapshot.unseen(new, old).select("path")
 
 
+# the pattern language
+
+
+def _pattern(name: str, text: str, sql: str, views: str = "calls sym", **parameters) -> None:
+    query(name, sql, views)(lambda s, d: pattern.match(s, graph(s, d), text, **parameters))
+
+
+_pattern("pattern_match", "MATCH (a:Symbol)-[r:CALLS]->(b:Symbol) WHERE b.name = $n AND a.isExported RETURN a.name AS caller, r.count AS n, type(r) AS t", "select a.name as caller, 1::bigint as n, 'CALLS' as t from calls join sym a on a.id = src join sym b on b.id = dst where b.name = 'small ring' and a.is_exported", n=WANTED)
+_pattern("pattern_optional", "MATCH (a:Symbol) WHERE a.name = $n OPTIONAL MATCH (a)-[:CALLS]->(b:Symbol) WHERE b.isExported RETURN a.id AS id, b.id AS other, head(labels(a)) AS l", "select a.id, b.id as other, 'Symbol' as l from sym a left join (calls join sym b on b.id = dst and b.is_exported) on src = a.id where a.name = 'small ring'", n=WANTED)
+_pattern("pattern_trails", "MATCH p = (a:Symbol)<-[:CALLS*1..3]-(b:Symbol) WHERE a.name = $n RETURN a.id AS seed, b.id AS node, length(p) AS depth", _TRAILS + "select seed, node, depth from walk", n=WANTED)
+_pattern("pattern_union", "MATCH (a:Symbol) WHERE a.kind = 'ECONOMY' RETURN a.file AS x UNION MATCH (a:Symbol) WHERE a.startLine > 45 RETURN a.name AS x", "select file as x from sym where kind = 'ECONOMY' union select name from sym where start_line > 45", "sym")
+_pattern("pattern_with", "MATCH (a:Symbol)-[:CALLS]->(b:Symbol) WITH a, count(b) AS n WHERE n >= 2 MATCH (a)-[:EXTENDS]->(c:Symbol) RETURN a.id AS id, n, c.name AS parent", "select a.id, n, c.name as parent from (select src, count(*)::bigint as n from calls group by all having count(*) >= 2) join sym a on a.id = src join her h on h.sub_id = a.id and not is_external join sym c on c.id = super_id", "calls sym her")
+_pattern("pattern_lists", "MATCH (a:Symbol) WHERE a.name IN $names AND NOT a.kind IN ['ECONOMY'] RETURN a.kind AS kind, count(*) AS n, size(collect(DISTINCT a.name)) AS names", "select kind, count(*)::bigint as n, count(distinct name)::integer as names from sym where name in ('small ring', 'red widget') and kind <> 'ECONOMY' group by all", "sym", names=[WANTED, "red widget"])
+_pattern("pattern_conditions", "MATCH (a:Symbol) WHERE a.isExported AND NOT (a)<-[:CALLS]-(:Symbol) AND (a)-[:CALLS]->(:Symbol) AND (a.name CONTAINS 'ring' OR a.qname STARTS WITH 'Brand#1') RETURN a.id AS id", "select id from sym where is_exported and id not in (select dst from calls) and id in (select src from calls) and (contains(name, 'ring') or starts_with(qname, 'Brand#1'))")
+_pattern("pattern_order", "MATCH (a:Symbol) RETURN DISTINCT a.kind AS kind, CASE WHEN a.kind = 'PROMO' THEN 0 ELSE 1 END AS r ORDER BY r, kind DESC SKIP 1 LIMIT 3", "select distinct kind, case when kind = 'PROMO' then 0 else 1 end as r from sym order by r, kind desc limit 3 offset 1", "sym")
+_pattern("pattern_any_direction", "MATCH (a:Symbol {name: $n})-[:CALLS|EXTENDS]-(b:Symbol) RETURN toUpper(b.name) AS name, count(*) AS n", "select upper(b.name) as name, count(*)::bigint as n from (select src, dst from calls union all select dst, src from calls union all select sub_id, super_id from her where not is_external union all select super_id, sub_id from her where not is_external) join sym a on a.id = src join sym b on b.id = dst where a.name = 'small ring' group by all", "calls sym her", n=WANTED)
+
+
 def queries() -> dict[str, Query]:
     return _QUERIES | rendered.QUERIES
 
