@@ -14,6 +14,8 @@ ASCII_SPACE = r"\x20\x09-\x0D"
 
 #: A key that over one in ``HOT`` rows bear is hot; there are at most ``HOT`` such keys.
 HOT = 1000
+#: A key of fewer rows burdens no task, whatever its share of a small table. This decides how rows are laid out, not which.
+LEAST_HOT = 200
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -70,8 +72,9 @@ def lookup(left: DataFrame, right: DataFrame, key: str, how: str = "left", count
     """
     if counts is None:
         counts = left.groupBy(key).agg(F.count("*").alias("_n"))
-    total = counts.agg(F.sum("_n")).first()[0] or 0
-    hot = [r[0] for r in counts.where(F.col(key).isNotNull() & (F.col("_n") > total / HOT)).select(key).collect()]
+    total, most = counts.where(F.col(key).isNotNull()).agg(F.coalesce(F.sum("_n"), F.lit(0)), F.coalesce(F.max("_n"), F.lit(0))).first()
+    least = max(total / HOT, LEAST_HOT)
+    hot = [r[0] for r in counts.where(F.col(key).isNotNull() & (F.col("_n") > least)).select(key).collect()] if most > least else []
     is_hot = F.col(key).isin(hot) if hot else F.lit(False)
     out = left.where(F.col(key).isNotNull() & ~is_hot).join(right, key, how)
     if hot:
