@@ -82,8 +82,10 @@ def test_golay_keys_find_every_link():
         assert all(keys[0][i] & keys[1][i] for i in keys[0])
 
 
-def test_large_buckets(spark):
-    """Chains and clusters in one bucket, beyond the lags: components as brute force has them."""
+@pytest.mark.parametrize("block", [1024, 20])
+def test_large_buckets(spark, monkeypatch, block):
+    """Chains and clusters in one bucket, beyond the lags, whole or dealt into many parts: components as brute force has them."""
+    monkeypatch.setattr(simhash, "BLOCK", block)
     rng = random.Random(5)
     fps = {rng.getrandbits(21) << 42 | 12345 for _ in range(3000)} | {(1 << 60) + sum(1 << rng.randrange(42, 62) for _ in range(3)) for _ in range(200)}
     fps = sorted(f - (1 << 64) if f >> 63 else f for f in fps)
@@ -175,6 +177,31 @@ def test_quality_rules(spark, texts):
     assert quality_rules(frame(spark, [])).count() == 0
 
 
+def test_repeated_words_by_either_way(spark, monkeypatch):
+    """Texts of more words than positions fit into a packed number are counted by the windows themselves."""
+    from symgraph.llm import quality_rules
+
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice("ab") for _ in range(rng.randint(0, 40))) for _ in range(100)]
+    counts = lambda: {r["doc_id"]: r["n_repeat_words"] for r in quality_rules.quality_rules(frame(spark, texts)).collect()}
+    plain = counts()
+    monkeypatch.setattr(quality_rules, "_POSITION_BITS", 4)
+    assert counts() == plain and len(set(plain.values())) > 5
+
+
+def test_lookup(spark):
+    """Hot keys, null keys and keys without a match, joined as a plain join would."""
+    from symgraph.llm.common import lookup
+
+    rows = [(7, i) for i in range(900)] + [(None, i) for i in range(50)] + [(i, i) for i in range(300)]
+    left, right = spark.createDataFrame(rows, "k long, x long"), spark.createDataFrame([(i, f"v{i}") for i in range(0, 200)], "k long, v string")
+    for how in ("left", "inner"):
+        want = sorted(map(tuple, left.join(right, "k", how).select("k", "x", "v").collect()), key=str)
+        assert sorted(map(tuple, lookup(left, right, "k", how).collect()), key=str) == want
+    counts = left.groupBy("k").count().withColumnRenamed("count", "_n")
+    assert lookup(left, right, "k", "inner", counts).count() == 900 + 200 and lookup(left.limit(0), right, "k").count() == 0
+
+
 def test_pii(spark):
     rng = random.Random(3)
     parts = [*"a1@.-_ +()%", "a@b.c", "1.2.3.4", "4303624562121775", "+1 (767) 555-5699", "256.1.1.1", "\n", "é", "4303 6245 6212 1775", "😀", "@x..y", "0001.2.3.4"]
