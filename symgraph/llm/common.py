@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space of the word definitions, as a Java regex class body.
@@ -37,12 +37,19 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def stash(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage and survives lost executors."""
-    spark, path = df.sparkSession, scratch_path(df.sparkSession, label)
+def stash(df: DataFrame, label: str, **measures) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts the lineage and survives lost executors.
+
+    ``measures``: aggregates that are taken while it is written; they are in ``seen`` of the result.
+    """
+    spark, path, schema = df.sparkSession, scratch_path(df.sparkSession, label), df.schema
+    if measures:
+        seen = Observation()
+        df = df.observe(seen, *[m.alias(n) for n, m in measures.items()])
     df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
     out._scratch = path
+    out.seen = dict(seen.get) if measures else {}
     return out
 
 
@@ -63,16 +70,16 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def lookup(left: DataFrame, right: DataFrame, key: str, how: str = "left", counts: DataFrame | None = None) -> DataFrame:
+def lookup(left: DataFrame, right: DataFrame, key: str, how: str = "left", counts: DataFrame | None = None, sizes: tuple[int, int] | None = None) -> DataFrame:
     """``left`` joined with ``right``, whose ``key`` is unique, by that column; no task gets all rows of a hot key.
 
     ``counts(key, _n)``: the rows of ``left`` by key; without it they are counted, so both should be stored tables. Keys that over one in
     ``HOT`` of the rows bear, ``HOT`` at most, are joined by a broadcast of their rows of ``right``, the others by
-    Catalyst's choice. Null keys find nothing and are not sent anywhere. ``how``: left or inner.
+    Catalyst's choice. Null keys find nothing and are not sent anywhere. ``how``: left or inner. ``sizes``: the sum and the greatest of the counts, where they are known.
     """
     if counts is None:
         counts = left.groupBy(key).agg(F.count("*").alias("_n"))
-    total, most = counts.where(F.col(key).isNotNull()).agg(F.coalesce(F.sum("_n"), F.lit(0)), F.coalesce(F.max("_n"), F.lit(0))).first()
+    total, most = sizes or counts.where(F.col(key).isNotNull()).agg(F.coalesce(F.sum("_n"), F.lit(0)), F.coalesce(F.max("_n"), F.lit(0))).first()
     least = max(total / HOT, LEAST_HOT)
     hot = [r[0] for r in counts.where(F.col(key).isNotNull() & (F.col("_n") > least)).select(key).collect()] if most > least else []
     is_hot = F.col(key).isin(hot) if hot else F.lit(False)
