@@ -207,10 +207,10 @@ SCHEMAS = {
     "xsd": ("s/unit{k}.xsd", '<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema"><xs:complexType name="Crate{k}"><xs:sequence><xs:element name="Code" type="xs:int"/><xs:element name="Mark" type="xs:string" minOccurs="0" maxOccurs="unbounded"/></xs:sequence></xs:complexType></xs:schema>', [("Crate{k}", "Code", "xs:int", True, False, 0), ("Crate{k}", "Mark", "xs:string", False, True, 0)], None),
     "openapi": ("s{k}/openapi.json", '{"openapi": "3.0.0", "components": {"schemas": {"Crate{k}": {"type": "object", "required": ["code"], "properties": {"code": {"type": "string"}, "owner": {"$ref": "#/components/schemas/Person"}, "marks": {"type": "array", "items": {"type": "integer"}}}}}}}', [("Crate{k}", "code", "string", True, False, 0), ("Crate{k}", "owner", "Person", False, False, 0), ("Crate{k}", "marks", "array", False, True, 0)], None),
     "graphql": ("s/unit{k}.graphql", "type Query {\n  x: Int\n}\n\ntype Crate{k} {\n  code: ID!\n  marks: [String]\n}\n", [("Crate{k}", "code", "ID", True, False, 0), ("Crate{k}", "marks", "String", False, True, 0)], None),
-    "sql": ("s/unit{k}.sql", "CREATE TABLE crates{k} (\n  id SERIAL PRIMARY KEY,\n  label VARCHAR(20) NOT NULL,\n  weight INTEGER\n);\n", None, [("crates{k}", "id", "primary_key", False, None), ("crates{k}", "label", "column", False, None), ("crates{k}", "weight", "column", True, None)]),
-    "prisma": ("s/unit{k}.prisma", 'datasource db {\n  provider = "postgresql"\n}\n\nmodel Crate{k} {\n  id Int @id\n  label String?\n  owner Person @relation(fields: [a])\n}\n', None, [("Crate{k}", "id", "primary_key", False, None), ("Crate{k}", "label", "column", True, None), ("Crate{k}", "owner", "foreign_key", False, None)]),
-    "elasticsearch": ("s/unit{k}-mapping.json", '{"mappings": {"properties": {"vector": {"type": "dense_vector", "dims": 3}, "code": {"type": "keyword"}}}}', None, [("unit{k}", "vector", "vector", True, 3), ("unit{k}", "code", "keyword", True, None)]),
-    "mongoose": ("s/unit{k}.ts", "import mongoose, { Schema } from 'mongoose';\nconst Crate{k}Schema = new Schema({\n  label: String,\n  weight: { type: Number },\n});\n", None, [("crate{k}s", "_id", "primary_key", False, None), ("crate{k}s", "label", "column", True, None), ("crate{k}s", "weight", "column", True, None)]),
+    "sql": ("s/unit{k}.sql", "CREATE TABLE crates{k} (\n  id SERIAL PRIMARY KEY,\n  label VARCHAR(20) NOT NULL,\n  weight INTEGER\n);\n", None, [("crates{k}", "id", "primary_key", False, 0), ("crates{k}", "label", "column", False, 0), ("crates{k}", "weight", "column", True, 0)]),
+    "prisma": ("s/unit{k}.prisma", 'datasource db {\n  provider = "postgresql"\n}\n\nmodel Crate{k} {\n  id Int @id\n  label String?\n  owner Person @relation(fields: [a])\n}\n', None, [("Crate{k}", "id", "primary_key", False, 0), ("Crate{k}", "label", "column", True, 0), ("Crate{k}", "owner", "foreign_key", False, 0)]),
+    "elasticsearch": ("s/unit{k}-mapping.json", '{"mappings": {"properties": {"vector": {"type": "dense_vector", "dims": 3}, "code": {"type": "keyword"}}}}', None, [("unit{k}", "vector", "vector", True, 3), ("unit{k}", "code", "keyword", True, 0)]),
+    "mongoose": ("s/unit{k}.ts", "import mongoose, { Schema } from 'mongoose';\nconst Crate{k}Schema = new Schema({\n  label: String,\n  weight: { type: Number },\n});\n", None, [("crate{k}s", "_id", "primary_key", False, 0), ("crate{k}s", "label", "column", True, 0), ("crate{k}s", "weight", "column", True, 0)]),
 }
 
 
@@ -221,7 +221,7 @@ def _schema(format_: str) -> Query:
         f = extract.facts(files_of(keys(s, d), [(path, content)]))
         if entities is not None:
             return f["contract_fields"].join(f["contract_entities"].select(F.col("id").alias("entity_id"), F.col("name").alias("entity")), "entity_id").select("entity", F.col("name").alias("field"), "raw_type", "is_required", "is_list", "tag_number")
-        return f["storage_attributes"].join(f["storage_containers"].select(F.col("id").alias("container_id"), F.col("name").alias("container")), "container_id").select("container", F.col("name").alias("attribute"), F.col("attribute_role").alias("role"), "is_nullable", "vector_dimension")
+        return f["storage_attributes"].join(f["storage_containers"].select(F.col("id").alias("container_id"), F.col("name").alias("container")), "container_id").select("container", F.col("name").alias("attribute"), F.col("attribute_role").alias("role"), "is_nullable", F.coalesce("vector_dimension", F.lit(0)).alias("vector_dimension"))
 
     return run
 
@@ -455,13 +455,13 @@ def stream_apply(s, d):
     return watcher.warehouse.read()["symbols"].select("name")
 
 
-@query("diff_hunks", "select 'app/n' || n_nationkey || '.py' as file, case when n_nationkey % 3 = 2 then 'deleted' when n_nationkey % 3 = 1 then 'added' else 'modified' end as change_type, case when n_nationkey % 3 = 2 then null when n_nationkey % 3 = 1 then 1 else 10 + n_nationkey end as start, case when n_nationkey % 3 = 2 then null when n_nationkey % 3 = 1 then 5 else 12 + n_nationkey end as \"end\" from nation")
+@query("diff_hunks", "select 'app/n' || n_nationkey || '.py' as file, case when n_nationkey % 3 = 2 then 'deleted' when n_nationkey % 3 = 1 then 'added' else 'modified' end as change_type, case when n_nationkey % 3 = 2 then -1 when n_nationkey % 3 = 1 then 1 else 10 + n_nationkey end as start, case when n_nationkey % 3 = 2 then -1 when n_nationkey % 3 = 1 then 5 else 12 + n_nationkey end as \"end\" from nation")
 def diff_hunks(s, d):
     parts = []
     for k in _nations(s, d):
         f = f"app/n{k}.py"
         parts.append(f"diff --git a/{f} b/{f}\n" + [f"--- a/{f}\n+++ b/{f}\n@@ -{k + 1},2 +{10 + k},3 @@ def x\n+a\n@@ -40,2 +50,0 @@\n-b\n", f"new file mode 100644\n--- /dev/null\n+++ b/{f}\n@@ -0,0 +1,5 @@\n+a\n", f"deleted file mode 100644\n--- a/{f}\n+++ /dev/null\n@@ -1,3 +0,0 @@\n-a\n"][k % 3])
-    return s.createDataFrame(parse_unified_diff("".join(parts)), HUNKS)
+    return s.createDataFrame(parse_unified_diff("".join(parts)), HUNKS).fillna(-1, ["start", "end"])
 
 
 @query("registered_language", "select 'x/unit' || s_suppkey || '.hull' as path, 'keel' || s_suppkey as name, 'function' as kind from supplier")
