@@ -1,13 +1,18 @@
-"""Near copies by the similarity of shingle sets, searched by banded MinHash and verified exactly.
+"""Near copies by the similarity of shingle sets, searched by SimHash and Golay-code fuzzy hashing, and verified exactly.
 
 A text is the set of its runs of five words (lower-cased, ASCII white space). Two texts are near
-copies where the Jaccard similarity of their sets is 0.8 or more; their SimHashes differ in about ten
-bits there, which no small bit bound covers. Each set gets ``BANDS`` keys, each of ``ROWS`` minima
-under hash functions of its own: two sets of similarity s share a key with probability
-1 - (1 - s ** ROWS) ** BANDS, so one pair in 20 million is missed at 0.8 and fewer above.
+copies where the Jaccard similarity of their sets is 0.8 or more. About 0.15 of their SimHashes' bits
+differ there, ten of 64, too many for the keys of ``simhash``, which are complete up to four. So the SimHash is
+longer here, ``WORDS`` words of 23 bits, and each word alone is fuzzily hashed: its keys are its codeword indices in the binary
+Golay code [23, 12, 7], as in ``simhash``.
 
-Equal sets are one node from the start. Buckets are searched as in ``simhash``: large ones are dealt into parts, each node is compared with its
-last few predecessors in its part and with two nodes of the whole bucket. Where that is not every pair and leaves several components,
+* Words that differ in at most 2 bits always share an index, so SimHashes that differ in at most 3 * ``WORDS`` - 1 bits share a key (pigeonhole).
+* Beyond, a word of two texts of similarity 0.8 has an index in common with probability 0.6, so all of them fail for one pair in 30 million (sets of 4 and 5 shingles: in 140,000).
+* Rows of a key are compared by the Hamming distance of ``CHECKED`` blocks of 64 bits: near copies differ in over ``BITS`` of them
+  in one case of 10^8 (sets of 4 and 5 shingles: 10^5), unrelated texts in at most that many in one of 10^7.
+
+Equal sets are one node from the start. What the Hamming distance links under a key is a *bucket*; no list of all its pairs is made. Large buckets are dealt into parts, each node is
+compared with its last few predecessors in its part and with two nodes of the whole bucket, by the sets themselves. Where that is not every pair and leaves several components,
 
 * all are compared with the bucket's anchor, the node that is in most such buckets: copies of one text that hardly resemble each
   other meet their model there;
@@ -17,6 +22,7 @@ last few predecessors in its part and with two nodes of the whole bucket. Where
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,15 +33,24 @@ from pyspark.sql import functions as F
 
 from .common import dealt, lookup, one_in, settle, stash, text_or_empty, unstash
 from .components import connected_components
-
-BANDS, ROWS = 32, 4
+from .simhash import codeword_indices, error_patterns
+
+#: Words of a SimHash, of 23 bits each, and the blocks of 64 bits that they are cut from.
+WORDS, BLOCKS64 = 19, 7
+#: Blocks that rows of a key are compared by, and the most bits that differ there.
+CHECKED, BITS = 3, 60
+#: Rows of a key from which on a group that makes up much of it is taken out first; pairs compared at a time.
+MANY, _PAIRS = 1024, 1 << 14
+#: A row under a key; keys whose indices agree but for the lowest bits travel together.
+_ROW, _LOW = np.dtype([("index", "<u2"), ("node", "<i8"), ("print", "<u8", CHECKED)]), 5
 #: Predecessors that a node is compared with in a bucket; anchors and main components do the rest.
 LAGS = 1
 #: Rows of a part of a bucket, and of a block of those compared with each other.
 BLOCK, COMPARED = 256, 1024
-_BLOCK_HASHES = 1 << 9
 _RNG = np.random.default_rng(42)
-_FLIPS, _FACTORS, _MIX = (_RNG.integers(0, 2**64, BANDS * ROWS, np.uint64) | np.uint64(1) for _ in range(3))
+_FLIPS = _RNG.integers(0, 2**64, BLOCKS64, np.uint64)
+_FACTORS = _RNG.integers(0, 2**64, 2, np.uint64) | np.uint64(1)
+_patterns = functools.cache(error_patterns)
 
 
 def shingle_hashes(text: str | None, shingle_words: int = 5, seed: int = 42) -> np.ndarray:
@@ -51,32 +66,135 @@ def shingle_hashes(text: str | None, shingle_words: int = 5, seed: int = 42) ->
     return np.unique(np.array([xxh64_intdigest(line[x:y], seed) for x, y in zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist())], np.uint64))
 
 
+def simhash_blocks(hashes: np.ndarray) -> np.ndarray:
+    """[BLOCKS64] the SimHash of a set: a bit is 1 where over half of the set's elements have it. Each block hashes the elements anew."""
+    ones = np.zeros(64 * BLOCKS64, np.int64)
+    for at in range(0, len(hashes), 255):
+        mixed = hashes[at : at + 255, None] ^ _FLIPS
+        for factor in _FACTORS:
+            mixed = (mixed ^ mixed >> np.uint64(32)) * factor
+        mixed ^= mixed >> np.uint64(32)
+        ones += np.unpackbits(mixed.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)
+
+
+def word_indices(blocks: np.ndarray) -> np.ndarray:
+    """[n, BLOCKS64] -> [n, WORDS, 6] the codeword indices of each word, or -1."""
+    bits = np.unpackbits(np.ascontiguousarray(blocks).view(np.uint8), axis=1, bitorder="little")[:, : 23 * WORDS]
+    words = (bits.reshape(-1, 23).astype(np.float32) @ (1 << np.arange(23)).astype(np.float32)).astype(np.int64)  # below 2 ** 23, so exact
+    return codeword_indices(words, _patterns()).reshape(len(blocks), WORDS, -1)
+
+
 def band_keys(hashes: np.ndarray) -> np.ndarray:
-    """A key per band, or none for an empty set."""
+    """The keys of a set, its words' codeword indices; none for an empty set."""
     if not len(hashes):
         return np.empty(0, np.int64)
-    least = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
-    for at in range(0, len(hashes), _BLOCK_HASHES):
-        mixed = (hashes[at : at + _BLOCK_HASHES, None] ^ _FLIPS) * _FACTORS
-        np.minimum(least, (mixed ^ mixed >> np.uint64(32)).min(axis=0), out=least)
-    return (least * _MIX).reshape(BANDS, ROWS).sum(axis=1, dtype=np.uint64).view(np.int64)
+    indices = word_indices(simhash_blocks(hashes)[None])[0]
+    word, slot = np.nonzero(indices >= 0)
+    return word << 12 | indices[word, slot]
 
 
 def _signed(rows: DataFrame, shingle_words: int, seed: int) -> DataFrame:
-    """``(row, id, t)`` -> ``(row, id, node, keys)``; texts of equal sets have the same node."""
+    """``(row, id, t)`` -> ``(row, id, node, print)``; texts of equal sets have the same node, and those without words no print."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
 
         for batch in batches:
-            nodes, keys = [], []
+            nodes, prints = [], []
             for t in batch.column(2):
                 hashes = shingle_hashes(t.as_py(), shingle_words, seed)
                 nodes.append(xxh64_intdigest(hashes.tobytes(), seed))
-                keys.append(band_keys(hashes))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], ["row", "id", "node", "keys"])
+                prints.append(simhash_blocks(hashes).tobytes() if len(hashes) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(prints, pa.binary())], ["row", "id", "node", "print"])
+
+    return rows.mapInArrow(run, f"row long, id {rows.schema['id'].dataType.simpleString()}, node long, print binary")
+
+
+def _keyed(nodes: DataFrame) -> DataFrame:
+    """``(node, print)`` -> ``(g, rows)``: the rows under keys, packed by a word and the higher bits of its index."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = batch.column(0).to_numpy(zero_copy_only=False)
+            blocks = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64).reshape(-1, BLOCKS64)
+            indices = word_indices(blocks)
+            row, word, slot = np.nonzero(indices >= 0)
+            index = indices[row, word, slot]
+            g = word << (12 - _LOW) | index >> _LOW
+            order = np.argsort(g, kind="stable")
+            packed, g = np.empty(len(g), _ROW), g[order]
+            packed["index"], packed["node"], packed["print"] = index[order], own[row[order]], blocks[row[order], :CHECKED]
+            starts = np.flatnonzero(np.diff(g, prepend=-1))
+            ends = np.append(starts[1:], len(g))
+            yield pa.RecordBatch.from_arrays([pa.array(g[starts].astype(np.int32)), pa.array([packed[x:y].tobytes() for x, y in zip(starts.tolist(), ends.tolist())], pa.binary())], ["g", "rows"])
+
+    return nodes.mapInArrow(run, "g int, rows binary")
+
+
+def _close(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """[len(a), len(b)] whether at most ``BITS`` bits differ."""
+    a, b = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)
+    bits = np.bitwise_count(a[0][:, None] ^ b[0])
+    for x, y in zip(a[1:], b[1:]):
+        bits += np.bitwise_count(x[:, None] ^ y)
+    return bits <= BITS
+
+
+def linked(prints: np.ndarray) -> np.ndarray:
+    """[n, CHECKED] -> [n] the place of one row of each row's component, over links of at most ``BITS`` differing bits."""
+    label, rest = np.arange(len(prints)), np.arange(len(prints))
+    while len(rest) > MANY:  # a component that is much of what is left meets the rest of it once, not each of its own rows
+        some = rest[:: max(1, len(rest) // 8)][:8]
+        near = _close(prints[some], prints[rest])
+        most = near[np.argmax(near.sum(axis=1))]
+        if 8 * most.sum() < len(rest):
+            break
+        front, rest = rest[most], rest[~most]
+        root = front[0]
+        while len(front):
+            label[front], hit = root, np.zeros(len(rest), bool)
+            step = max(8, _PAIRS // max(1, len(rest)))
+            for at in range(0, len(front) if len(rest) else 0, step):
+                hit |= _close(prints[front[at : at + step]], prints[rest]).any(axis=0)
+            front, rest = rest[hit], rest[~hit]
+    own, ends = prints[rest], [np.zeros((2, 0), np.int64)]
+    step = max(8, _PAIRS // max(1, len(rest)))
+    for at in range(0, len(rest), step):
+        i, j = np.nonzero(_close(own[at : at + step], own[at:]))
+        ends.append(np.stack((i[i < j], j[i < j])) + at)
+    (i, j), least, before = np.concatenate(ends, axis=1), np.arange(len(rest)), None
+    while len(i) and not np.array_equal(least, before):
+        before = least.copy()
+        np.minimum.at(least, i, least[j])
+        np.minimum.at(least, j, least[i])
+        least = least[least]
+    label[rest] = rest[least]
+    return label
+
+
+def _buckets(table: pa.Table) -> pa.Table:
+    """The packed rows of a few keys -> ``(key, node)`` of those that link under a key; the same nodes under another key are the same bucket."""
+    from xxhash import xxh64_intdigest
 
-    return rows.mapInArrow(run, f"row long, id {rows.schema['id'].dataType.simpleString()}, node long, keys array<long>")
+    rows = np.frombuffer(b"".join(table["rows"].to_pylist()), _ROW)
+    rows = rows[np.argsort(rows["index"], kind="stable")]
+    starts = np.flatnonzero(np.diff(rows["index"].astype(np.int64), prepend=-1))
+    found: dict[int, np.ndarray] = {}
+    for x, y in zip(starts.tolist(), [*starts[1:].tolist(), len(rows)]):
+        if y - x < 2:
+            continue
+        label = linked(rows["print"][x:y])
+        order = np.argsort(label, kind="stable")
+        cuts = np.flatnonzero(np.diff(label[order], prepend=-1))
+        sizes = np.diff(np.append(cuts, len(order)))
+        for at, n in zip(cuts[sizes > 1].tolist(), sizes[sizes > 1].tolist()):
+            nodes = np.sort(rows["node"][x:y][order[at : at + n]])
+            found[xxh64_intdigest(nodes.tobytes())] = nodes
+    keys = np.repeat(np.array(list(found), np.uint64).view(np.int64), [len(n) for n in found.values()])
+    return pa.table({"key": pa.array(keys, pa.int64()), "node": pa.array(np.concatenate([*found.values(), np.empty(0, np.int64)]), pa.int64())})
 
 
 def _sets(texts: DataFrame, shingle_words: int, seed: int) -> DataFrame:
@@ -157,10 +275,11 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*[F.col(c) for c in docs.columns]).alias("doc"))
     of_id, of_text = F.col("doc").getField(id_col).alias("id"), text_or_empty(F.col("doc").getField(text_col)).alias("t")
     prints = stash(_signed(rows.select(F.col("_row").alias("row"), of_id, of_text), shingle_words, seed), "near-prints")
-    nodes = stash(prints.groupBy("node").agg(F.min("row").alias("row"), F.min(F.struct(F.col("id").isNull().alias("last"), "id", "row")).alias("best"), F.first("keys").alias("keys")), "near-nodes")
+    nodes = stash(prints.groupBy("node").agg(F.min("row").alias("row"), F.min(F.struct(F.col("id").isNull().alias("last"), "id", "row")).alias("best"), F.first("print").alias("print")), "near-nodes")
 
     w = Window.partitionBy("key", "salt").orderBy("node")
-    one_each = nodes.select("node", F.explode("keys").alias("key"))  # equal sets have equal keys
+    packed = _keyed(nodes.where("print is not null").select("node", "print"))  # equal sets have equal keys
+    one_each = stash(packed.groupBy("g").applyInArrow(lambda t: _buckets(t.select(["rows"])), "key long, node long").distinct().select("node", "key"), "near-linked")
     keyed = dealt(one_each, one_each.where(one_in("node")), "node", BLOCK)
     seen = keyed.select("key", "node", "salts", "low", "high", F.row_number().over(w).alias("n"), *[F.lag("node", k).over(w).alias(f"p{k}") for k in range(1, LAGS + 1)], *[F.lead("node", k).over(w).alias(f"s{k}") for k in range(1, LAGS + 2)])
     big = (F.col("salts") > 1) | (F.col("n") > LAGS + 1)
@@ -216,6 +335,6 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     kept = nodes.join(joined, "node", "left").groupBy(F.coalesce("component", "node").alias("c")).agg(F.min("best").alias("best")).select(F.col("best.row").alias("_row"))
     kept = stash(kept, "near-kept")
-    for old in {x._scratch: x for x in (keyed, prints, wanted, nodes, pairs, found, sets, first, open_, anchors, more, second, rest, main, outside, to_main, of_main, joined)}.values():
+    for old in {x._scratch: x for x in (one_each, keyed, prints, wanted, nodes, pairs, found, sets, first, open_, anchors, more, second, rest, main, outside, to_main, of_main, joined)}.values():
         unstash(old)
     return rows.join(kept.hint("merge"), "_row", "left_semi").select("doc.*")

@@ -106,3 +106,43 @@ def test_keys_meet_at_the_bound():
         assert len(set(a.tolist()) & set(b.tolist())) == 178 and len(a) == len(b) == 200
         met += bool(set(band_keys(a).tolist()) & set(band_keys(b).tolist()))
     assert met == 300
+
+
+def test_keys_are_codeword_indices_of_simhash_words():
+    """By plain loops: bits by majority, and for each word the data bits of the Golay codewords that ``simhash`` gives it."""
+    import numpy as np
+
+    from symgraph.llm import near_copies as nc
+    from symgraph.llm.simhash import codeword_indices, error_patterns
+
+    hashes = shingle_hashes(" ".join(words(5, 400)))
+    one = [int(nc.simhash_blocks(np.array([h], np.uint64)).tobytes()[::-1].hex(), 16) for h in hashes]  # of one element: its own bits
+    want = sum(1 << i for i in range(64 * nc.BLOCKS64) if 2 * sum(x >> i & 1 for x in one) > len(one))
+    assert int(nc.simhash_blocks(hashes).tobytes()[::-1].hex(), 16) == want
+    parts = np.array([want >> 23 * k & (1 << 23) - 1 for k in range(nc.WORDS)])
+    found = codeword_indices(parts, error_patterns())
+    assert sorted(band_keys(hashes).tolist()) == sorted(k << 12 | i for k in range(nc.WORDS) for i in found[k].tolist() if i >= 0)
+
+
+def test_rows_link_by_hamming_distance(monkeypatch):
+    import numpy as np
+
+    from symgraph.llm import near_copies as nc
+
+    rng = np.random.default_rng(2)
+
+    def flipped(row, n):
+        bits = np.unpackbits(row.view(np.uint8))
+        bits[rng.choice(len(bits), n, replace=False)] ^= 1
+        return np.packbits(bits).view(np.uint64)
+
+    rows = list(rng.integers(0, 2**64, (40, nc.CHECKED), np.uint64))
+    rows += [flipped(rows[0], int(n)) for n in rng.integers(20, 70, 60)] + [flipped(rows[1], nc.BITS), flipped(rows[2], nc.BITS + 1)]
+    for _ in range(10):
+        rows.append(flipped(rows[-1], nc.BITS))
+    rows = np.array([rows[i] for i in rng.permutation(len(rows))])
+    want = union_find(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if int(np.bitwise_count(rows[i] ^ rows[j]).sum()) <= nc.BITS])
+    for many in (1024, 4):
+        monkeypatch.setattr(nc, "MANY", many)
+        label = nc.linked(rows).tolist()
+        assert len(set(zip(label, want))) == len(set(label)) == len(set(want))
