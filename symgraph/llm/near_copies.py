@@ -11,13 +11,19 @@ Golay code [23, 12, 7], as in ``simhash``.
 * Rows of a key are compared by the Hamming distance of ``CHECKED`` blocks of 64 bits: near copies differ in over ``BITS`` of them
   in one case of 10^8 (sets of 4 and 5 shingles: 10^5), unrelated texts in at most that many in one of 10^7.
 
-Equal sets are one node from the start. What the Hamming distance links under a key is a *bucket*; no list of all its pairs is made. Large buckets are dealt into parts, each node is
-compared with its last few predecessors in its part and with two nodes of the whole bucket, by the sets themselves. Where that is not every pair and leaves several components,
+Equal sets are one node from the start. What the Hamming distance links under a key is a *bucket*, and what buckets link is a *group*. Copies of one text share a hundred buckets, each
+with other members, so work by buckets would repeat itself. A group is compared as a whole, by the sets themselves: each node with the group's anchor, the node that is in most buckets;
+then what is outside of the group's main component with all of the group, block against block. Every two nodes of a bucket are of one group, so no pair is left out.
+
+Only where that would move more rows than the group has in its buckets (very large groups of chains), its buckets are searched one by one. Large buckets are dealt into parts, each node is
+compared with its last few predecessors in its part and with two nodes of the whole bucket. Where that is not every pair and leaves several components,
 
 * all are compared with the bucket's anchor, the node that is in most such buckets: copies of one text that hardly resemble each
   other meet their model there;
 * then, what is outside of the bucket's main component is compared with all of that component, once for all buckets that say so, and with the rest
-  outside, block against block. A block counts shared shingles by a product of two incidence matrices.
+  outside, block against block.
+
+A block counts shared shingles by a product of two incidence matrices.
 """
 
 from __future__ import annotations
@@ -143,6 +149,17 @@ def _close(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return bits <= BITS
 
 
+def _least(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
+    """[n] the least place of each place's component, over links (i, j)."""
+    least, before = np.arange(n), None
+    while len(i) and not np.array_equal(least, before):
+        before = least.copy()
+        np.minimum.at(least, i, least[j])
+        np.minimum.at(least, j, least[i])
+        least = least[least]
+    return least
+
+
 def linked(prints: np.ndarray) -> np.ndarray:
     """[n, CHECKED] -> [n] the place of one row of each row's component, over links of at most ``BITS`` differing bits."""
     label, rest = np.arange(len(prints)), np.arange(len(prints))
@@ -165,18 +182,12 @@ def linked(prints: np.ndarray) -> np.ndarray:
     for at in range(0, len(rest), step):
         i, j = np.nonzero(_close(own[at : at + step], own[at:]))
         ends.append(np.stack((i[i < j], j[i < j])) + at)
-    (i, j), least, before = np.concatenate(ends, axis=1), np.arange(len(rest)), None
-    while len(i) and not np.array_equal(least, before):
-        before = least.copy()
-        np.minimum.at(least, i, least[j])
-        np.minimum.at(least, j, least[i])
-        least = least[least]
-    label[rest] = rest[least]
+    label[rest] = rest[_least(*np.concatenate(ends, axis=1), len(rest))]
     return label
 
 
 def _buckets(table: pa.Table) -> pa.Table:
-    """The packed rows of a few keys -> ``(key, node)`` of those that link under a key; the same nodes under another key are the same bucket."""
+    """The packed rows of a few keys -> ``(key, node, first)`` of those that link under a key, ``first`` the least of them; the same nodes under another key are the same bucket."""
     from xxhash import xxh64_intdigest
 
     rows = np.frombuffer(b"".join(table["rows"].to_pylist()), _ROW)
@@ -193,18 +204,19 @@ def _buckets(table: pa.Table) -> pa.Table:
         for at, n in zip(cuts[sizes > 1].tolist(), sizes[sizes > 1].tolist()):
             nodes = np.sort(rows["node"][x:y][order[at : at + n]])
             found[xxh64_intdigest(nodes.tobytes())] = nodes
-    keys = np.repeat(np.array(list(found), np.uint64).view(np.int64), [len(n) for n in found.values()])
-    return pa.table({"key": pa.array(keys, pa.int64()), "node": pa.array(np.concatenate([*found.values(), np.empty(0, np.int64)]), pa.int64())})
+    of_each = [np.array(list(found), np.uint64).view(np.int64), np.array([n[0] for n in found.values()], np.int64)]
+    keys, firsts = (np.repeat(x, [len(n) for n in found.values()]) for x in of_each)
+    return pa.table({"key": pa.array(keys, pa.int64()), "node": pa.array(np.concatenate([*found.values(), np.empty(0, np.int64)]), pa.int64()), "first": pa.array(firsts, pa.int64())})
 
 
 def _sets(texts: DataFrame, shingle_words: int, seed: int) -> DataFrame:
-    """``(node, t)`` -> ``(node, set)``"""
+    """``(node, t)`` -> ``(node, set)``, sorted as signed numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                found = [shingle_hashes(t.as_py(), shingle_words, seed).view(np.int64) for t in part.column(1)]
+                found = [np.sort(shingle_hashes(t.as_py(), shingle_words, seed).view(np.int64)) for t in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int64()))], ["node", "set"])
 
     return texts.mapInArrow(run, "node long, set array<long>")
@@ -235,7 +247,7 @@ def shared_counts(a: list[np.ndarray], b: list[np.ndarray], width: int = 4096) -
 
 def _links(similarity: float):
     def of(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        """(u, v) of components: of each row on the left one link into each component on the right that it has a similar text in."""
+        """(u, v) of components: whatever similar texts on the left and the right join, each with the least of what it is joined to."""
         out = []
         if len(left) and len(right):
             a, b = ([np.asarray(x, np.int64) for x in df["set"]] for df in (left, right))
@@ -246,8 +258,9 @@ def _links(similarity: float):
                 total = np.array([len(x) for x in a[at : at + 128]], np.float64)[:, None] + sizes_b[None, :] - shared
                 i, j = np.nonzero((shared >= similarity * total) & (lc[at : at + 128, None] != rc[None, :]))
                 out.append(np.unique(np.stack((lc[i + at], rc[j]), axis=1), axis=0))
-        found = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
-        return pd.DataFrame({"u": found[:, 0], "v": found[:, 1]})
+        ends, place = np.unique(np.concatenate([*out, np.zeros((0, 2), np.int64)]), return_inverse=True)
+        least = ends[_least(*place.reshape(-1, 2).T, len(ends))]
+        return pd.DataFrame({"u": ends[ends != least], "v": least[ends != least]})
 
     return of
 
@@ -265,21 +278,48 @@ def compare(left: DataFrame, right: DataFrame, sets: DataFrame, group: str, simi
     return one.groupBy("g", "i", "j").cogroup(two.groupBy("g", "i", "j")).applyInPandas(_links(similarity), "u long, v long")
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:
-    """One row of each component of near copies, the one of the smallest id, with all columns.
+def _whole(nodes: Column, rows: Column) -> Column:
+    """Whether a group is compared as a whole: the grid of its blocks moves at most as many rows as it has in buckets, as it does up to ``COMPARED`` nodes. Both ways compare every pair."""
+    return nodes * F.ceil(nodes / COMPARED) <= rows
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of ``pairs(u, v)``, stored, whose sets are similar."""
+    return lookup(pairs, sets.toDF("v", "b"), "v", "inner").join(sets.toDF("u", "a"), "u").where(_similar("a", "b", similarity)).select("u", "v")
+
+
+def _with_links(stars: DataFrame, links: DataFrame) -> DataFrame:
+    """The components with further links; as they are if there is none."""
+    found = stash(links.distinct(), "near-links", n=F.count("*"))
+    as_edges = stars.select(F.col("node").alias("u"), F.col("component").alias("v"))
+    out = settle(connected_components(as_edges.unionByName(found), "near-edges"), "near-components") if found.seen["n"] else stars
+    unstash(found)
+    return out
 
-    Null and empty texts are copies of each other. Rows count as such: repeated ids with different texts
-    all take part, and a null id comes after all others. Of rows equal in id and text one stays.
-    A row is told by its place in the table, which has to give the same rows when it is read again, as files do.
-    """
-    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*[F.col(c) for c in docs.columns]).alias("doc"))
-    of_id, of_text = F.col("doc").getField(id_col).alias("id"), text_or_empty(F.col("doc").getField(text_col)).alias("t")
-    prints = stash(_signed(rows.select(F.col("_row").alias("row"), of_id, of_text), shingle_words, seed), "near-prints")
-    nodes = stash(prints.groupBy("node").agg(F.min("row").alias("row"), F.min(F.struct(F.col("id").isNull().alias("last"), "id", "row")).alias("best"), F.first("print").alias("print")), "near-nodes")
 
+def _drop(tables: list[DataFrame], but: DataFrame | None = None) -> None:
+    for path, old in {x._scratch: x for x in tables}.items():
+        if but is None or path != but._scratch:
+            unstash(old)
+
+
+def _by_groups(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """``members(g, node, n, anchor)`` -> ``(node, component)``, each group compared as a whole."""
+    pairs = stash(members.where("node <> anchor").select(F.col("node").alias("u"), F.col("anchor").alias("v")), "near-pairs")
+    first = settle(connected_components(_verified(pairs, sets, similarity), "near-edges"), "near-first")
+    placed = stash(members.where("n > 2").join(first, "node", "left").select("g", "node", F.coalesce("component", "node").alias("c")), "near-placed")
+    counted = placed.groupBy("g", "c").agg(F.count("*").alias("n"))
+    main = stash(counted.groupBy("g").agg(F.max(F.struct("n", "c")).alias("x"), F.sum("n").alias("_n"), F.count("*").alias("parts")).where("parts > 1"), "near-main")
+    open_ = stash(lookup(placed, main.select("g", F.col("x.c").alias("main")), "g", "inner", main.select("g", "_n")), "near-open")
+    outside = stash(open_.where("c <> main").select("g", "node", "c"), "near-outside")
+    joined = _with_links(first, compare(outside, open_.select("g", "node", "c"), sets, "g", similarity))
+    _drop([pairs, first, placed, main, open_, outside], joined)
+    return joined
+
+
+def _by_buckets(one_each: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """``one_each(node, key)`` -> ``(node, component)``, each bucket searched by itself."""
     w = Window.partitionBy("key", "salt").orderBy("node")
-    packed = _keyed(nodes.where("print is not null").select("node", "print"))  # equal sets have equal keys
-    one_each = stash(packed.groupBy("g").applyInArrow(lambda t: _buckets(t.select(["rows"])), "key long, node long").distinct().select("node", "key"), "near-linked")
     keyed = dealt(one_each, one_each.where(one_in("node")), "node", BLOCK)
     seen = keyed.select("key", "node", "salts", "low", "high", F.row_number().over(w).alias("n"), *[F.lag("node", k).over(w).alias(f"p{k}") for k in range(1, LAGS + 1)], *[F.lead("node", k).over(w).alias(f"s{k}") for k in range(1, LAGS + 2)])
     big = (F.col("salts") > 1) | (F.col("n") > LAGS + 1)
@@ -288,28 +328,15 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     to = F.array_distinct(F.array_compact(F.array(*[F.col(f"p{k}") for k in range(1, LAGS + 1)], *[F.when(F.col(k) != F.col("node"), F.col(k)) for k in ("low", "high")])))
     found = stash(seen.where("salts > 1 or n > 1 or s1 is not null").select("key", "node", to.alias("to"), F.coalesce(big, F.lit(False)).alias("big")), "near-buckets")
 
-    # what meets the texts here and at the end grows with the corpus: joined by a shuffle, at every size
-    wanted = stash(nodes.join(found.select("node").distinct(), "node").select("node", F.col("row").alias("_row")), "near-wanted")
-    sets = stash(_sets(rows.select("_row", of_text).join(wanted.hint("merge"), "_row").select("node", "t"), shingle_words, seed), "near-sets")
     pairs = stash(found.select(F.col("node").alias("u"), F.explode("to").alias("v")).distinct(), "near-pairs")
-    verified = lambda p: lookup(p, sets.toDF("v", "b"), "v", "inner").join(sets.toDF("u", "a"), "u").where(_similar("a", "b", similarity)).select("u", "v")
-    as_edges = lambda stars: stars.select(F.col("node").alias("u"), F.col("component").alias("v"))
-    first = settle(connected_components(verified(pairs), "near-edges"), "near-first")
-
-    def with_links(stars: DataFrame, links: DataFrame) -> DataFrame:
-        """The components with further links; as they are if there is none."""
-        found = stash(links.distinct(), "near-links", n=F.count("*"))
-        out = settle(connected_components(as_edges(stars).unionByName(found), "near-edges"), "near-components") if found.seen["n"] else stars
-        unstash(found)
-        return out
+    first = settle(connected_components(_verified(pairs, sets, similarity), "near-edges"), "near-first")
 
     def open_buckets(stars: DataFrame) -> DataFrame:
         """(key, node, c) of large buckets whose nodes are in several components."""
         members = stash(found.where("big").join(stars, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c")), "near-members")
         split = stash(members.groupBy("key").agg(F.count("*").alias("_n"), F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high"), "near-split")
         out = stash(lookup(members, split.select("key"), "key", "inner", split.select("key", "_n")), "near-open")
-        for old in (members, split):
-            unstash(old)
+        _drop([members, split])
         return out
 
     open_ = open_buckets(first)
@@ -317,7 +344,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     anchors = stash(weighed.groupBy("key").agg(F.max(F.struct("weight", "node", "c")).alias("x"), F.count("*").alias("_n")), "near-anchors")
     met = lookup(open_, anchors.select("key", F.col("x.node").alias("v"), F.col("x.c").alias("other")), "key", "inner", anchors.select("key", "_n"))
     more = stash(met.where("c <> other").select(F.col("node").alias("u"), "v").distinct(), "near-more")
-    second = with_links(first, verified(more))
+    second = _with_links(first, _verified(more, sets, similarity))
 
     rest = open_buckets(second)
     counted = rest.groupBy("key", "c").agg(F.count("*").alias("n"))
@@ -331,10 +358,42 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     of_main = stash(of_main.unionByName(alone), "near-of-main")
     among = outside.select("key", "node", "c")
     across = compare(to_main, of_main, sets, "main", similarity).unionByName(compare(among, among, sets, "key", similarity))
-    joined = with_links(second, across)
+    joined = _with_links(second, across)
+    _drop([keyed, found, pairs, first, open_, anchors, more, second, rest, main, outside, to_main, of_main], joined)
+    return joined
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:
+    """One row of each component of near copies, the one of the smallest id, with all columns.
+
+    Null and empty texts are copies of each other. Rows count as such: repeated ids with different texts
+    all take part, and a null id comes after all others. Of rows equal in id and text one stays.
+    A row is told by its place in the table, which has to give the same rows when it is read again, as files do.
+    """
+    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*[F.col(c) for c in docs.columns]).alias("doc"))
+    of_id, of_text = F.col("doc").getField(id_col).alias("id"), text_or_empty(F.col("doc").getField(text_col)).alias("t")
+    prints = stash(_signed(rows.select(F.col("_row").alias("row"), of_id, of_text), shingle_words, seed), "near-prints")
+    nodes = stash(prints.groupBy("node").agg(F.min("row").alias("row"), F.min(F.struct(F.col("id").isNull().alias("last"), "id", "row")).alias("best"), F.first("print").alias("print")), "near-nodes")
+
+    packed = _keyed(nodes.where("print is not null").select("node", "print"))  # equal sets have equal keys
+    one_each = stash(packed.groupBy("g").applyInArrow(lambda t: _buckets(t.select(["rows"])), "key long, node long, first long").distinct(), "near-linked")
+    grouped = settle(connected_components(one_each.select(F.col("node").alias("u"), F.col("first").alias("v")), "near-edges"), "near-grouped")
+    weighed = stash(one_each.groupBy("node").agg(F.count("*").alias("weight")).join(grouped, "node").select(F.col("component").alias("g"), "node", "weight"), "near-weighed")
+    groups = weighed.groupBy("g").agg(F.count("*").alias("n"), F.max(F.struct("weight", "node")).alias("x"), _whole(F.count("*"), F.sum("weight")).alias("whole"))
+    groups = stash(groups.select("g", "n", F.col("x.node").alias("anchor"), "whole"), "near-groups", apart=F.count_if(~F.col("whole")))
+    members = stash(lookup(weighed.select("g", "node"), groups, "g", "inner", groups.select("g", F.col("n").alias("_n"))), "near-members")
+
+    # what meets the texts here and at the end grows with the corpus: joined by a shuffle, at every size
+    wanted = stash(nodes.join(members.select("node"), "node").select("node", F.col("row").alias("_row")), "near-wanted")
+    sets = stash(_sets(rows.select("_row", of_text).join(wanted.hint("merge"), "_row").select("node", "t"), shingle_words, seed), "near-sets")
+    parts = [_by_groups(members.where("whole"), sets, similarity)]
+    apart = None
+    if groups.seen["apart"]:
+        apart = stash(one_each.select("node", "key").join(members.where("not whole").select("node"), "node", "left_semi"), "near-apart")
+        parts.append(_by_buckets(apart, sets, similarity))
+    joined = functools.reduce(DataFrame.unionByName, parts)  # no link leaves a group
 
     kept = nodes.join(joined, "node", "left").groupBy(F.coalesce("component", "node").alias("c")).agg(F.min("best").alias("best")).select(F.col("best.row").alias("_row"))
     kept = stash(kept, "near-kept")
-    for old in {x._scratch: x for x in (one_each, keyed, prints, wanted, nodes, pairs, found, sets, first, open_, anchors, more, second, rest, main, outside, to_main, of_main, joined)}.values():
-        unstash(old)
+    _drop([prints, nodes, one_each, grouped, weighed, groups, members, wanted, sets, *parts, *([apart] if apart is not None else [])])
     return rows.join(kept.hint("merge"), "_row", "left_semi").select("doc.*")

@@ -146,3 +146,46 @@ def test_rows_link_by_hamming_distance(monkeypatch):
         monkeypatch.setattr(nc, "MANY", many)
         label = nc.linked(rows).tolist()
         assert len(set(zip(label, want))) == len(set(label)) == len(set(want))
+
+
+def test_groups_of_copies_are_not_compared_bucket_by_bucket(spark, monkeypatch):
+    """Copies of one text that hardly resemble each other, and texts that share a passage: the rows compared grow with the nodes, not with their buckets."""
+    from symgraph.llm import near_copies
+
+    rng, base, shared = random.Random(21), " ".join(words(400, 150)), " ".join(words(401, 60))
+    out = [base, *(edited(base, rng, rng.randrange(2, 9)) for _ in range(150)), *(shared + " " + " ".join(words(500 + i, 30)) for i in range(100))]
+    made, stash = {}, near_copies.stash
+
+    def counting(df, label, **measures):
+        table = stash(df, label, **measures)
+        made[label] = made.get(label, 0) + table.count()
+        return table
+
+    monkeypatch.setattr(near_copies, "stash", counting)
+    kept = sorted(r["doc_id"] for r in drop_near_copies(frame(spark, out)).collect())
+    sets = [shingles(t) for t in out]
+    assert kept == sorted(set(union_find(len(out), [(i, j) for i in range(len(out)) for j in range(i) if similar(sets[i], sets[j])])))
+    assert made["near-linked"] > 10 * len(out), "they share many buckets"
+    for label in ("near-pairs", "near-more", "near-open", "near-outside", "near-to-main", "near-links"):
+        assert made.get(label, 0) <= len(out), label
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_groups_searched_by_buckets(spark, monkeypatch, small):
+    from symgraph.llm import near_copies
+
+    monkeypatch.setattr(near_copies, "_whole", lambda nodes, rows: nodes < 3)  # groups of both kinds
+    test_large_groups_of_copies(spark, monkeypatch, small)
+
+
+def test_sets_are_sorted_as_they_are_compared(spark):
+    """Hashes of the upper half are negative as longs; ``shared_counts`` takes parts of the elements by their order."""
+    import numpy as np
+
+    from symgraph.llm.near_copies import _sets, shared_counts
+
+    texts = [" ".join(words(600 + i % 3, 300)) + f" end{i}" for i in range(9)]
+    found = {r["node"]: np.array(r["set"]) for r in _sets(spark.createDataFrame(list(enumerate(texts)), "node long, t string"), 5, 42).collect()}
+    assert all((np.diff(x) > 0).all() and x[0] < 0 < x[-1] for x in found.values())
+    own = [found[i] for i in range(9)]
+    assert shared_counts(own, own, 64).tolist() == [[len(set(x.tolist()) & set(y.tolist())) for y in own] for x in own]
