@@ -17,6 +17,8 @@ from .plans.graph import SymGraph, build, empty_facts
 from .sources import discovery
 from .sources.scratch import cut, drop
 
+#: Source files that are parsed one after the other at most; tables of files compress so well that their bytes say little about the work.
+FILES = 2000
 _CHILDREN = {"contract_entities": ("fields", "contract_fields", "entity_id"), "storage_containers": ("attributes", "storage_attributes", "container_id")}
 
 
@@ -59,7 +61,7 @@ def facts(files: DataFrame) -> dict[str, DataFrame]:
     may have changed since.
     """
     spark = files.sparkSession
-    ok = cut(files.where("reason = 'ok' and content is not null"), "files")
+    ok = cut(files.where("reason = 'ok' and content is not null"), "files", FILES)
     is_doc = text.is_doc_file(F.col("path"))
     parsed = ok.where(F.col("language").isNotNull() | discovery.is_schema_path(F.col("path"))).select("path", "content", "language").mapInPandas(partial(_parse, code.registered()), "table string, row string")
     parsed = cut(parsed, "parsed")

@@ -87,6 +87,8 @@ SOURCES = {
     "scala": Source("scala", "object Port{k} {\n  def berth{k}(n: Int): Int = {\n    n + {k}\n  }\n}\n", [("berth{k}", "function", 2, 4, True)]),
 }
 _UNIT = "supplier"
+#: Suppliers whose files are rendered by one task.
+UNITS = 250
 
 
 def literal(v) -> str:
@@ -109,7 +111,9 @@ def filled(template: str) -> Column:
 
 
 def keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{_UNIT}.parquet").select(F.col("s_suppkey").alias("k"))
+    """Keys by the hundred: the table is small enough for one task, the files that are rendered from it are not."""
+    units = spark.read.parquet(f"{sf_dir}/{_UNIT}.parquet").select(F.col("s_suppkey").alias("k"))
+    return units.repartition(max(1, -(-units.count() // UNITS)), "k")
 
 
 def files_of(units: DataFrame, templates: list[tuple[str, str]]) -> DataFrame:

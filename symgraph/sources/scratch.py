@@ -23,10 +23,13 @@ def shared_folder(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def cut(df: DataFrame, label: str) -> DataFrame:
-    """``df``, written once and read back: plans that build on it start at a scan, and a lost executor costs no earlier step."""
+def cut(df: DataFrame, label: str, rows: int = 0) -> DataFrame:
+    """``df``, written once and read back: plans that build on it start at a scan, and a lost executor costs no earlier step.
+
+    With ``rows`` no written file has more, so that what reads it is spread over many tasks even where few have written small rows: a small file is read by one.
+    """
     path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", rows).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.cut_path = path
     return out

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from symgraph import extract, rendered
 from symgraph.operators import ingest
 
 SYMBOLS = "id string, name string, qname string"
@@ -39,3 +40,26 @@ def test_calls_fan_out_last(spark, monkeypatch, most):
     rows = [tuple(r) for r in found.select("src_id", "dst_id", "dst_external", "line", "cnt", F.coalesce("callee_name", F.lit("")), F.coalesce("callee_qname", F.lit(""))).collect()]
     assert sorted(rows, key=repr) == _edges(raw, symbols)
     assert "Aggregate" not in _before_joins(found)
+
+
+def test_parsing_is_spread(spark, tmp_path, monkeypatch):
+    """Keys in one small file, as the suppliers are: rendering and parsing take many tasks."""
+    spark.range(1, 2001, 1, 1).withColumnRenamed("id", "s_suppkey").write.parquet(str(tmp_path / "supplier.parquet"))
+    keys = rendered.keys(spark, str(tmp_path))
+    assert keys.rdd.getNumPartitions() >= 8 and keys.count() == 2000
+    files = rendered.files_of(keys.coalesce(1), [(rendered.SOURCES["bash"].path("bash"), rendered.SOURCES["bash"].text)])
+    monkeypatch.setattr(extract, "FILES", 100, raising=False)
+    facts = extract.facts(files)
+    ok, parsed = facts["errors"].of_cut
+    assert ok.count() == 2000 and facts["symbols"].count() == 2000
+    sizes = [r["count"] for r in ok.groupBy(F.input_file_name()).count().collect()]
+    assert max(sizes) <= 100
+    assert parsed.select(F.input_file_name()).distinct().count() > 1
+
+
+@pytest.mark.parametrize("name, rows", [("parse_imports", 16)])
+def test_rendered_queries_are_spread(spark, tmp_path, monkeypatch, name, rows):
+    monkeypatch.setattr(rendered, "UNITS", 10, raising=False)
+    spark.range(1, 81, 1, 1).withColumnRenamed("id", "s_suppkey").write.parquet(str(tmp_path / "supplier.parquet"))
+    found = rendered.QUERIES[name](spark, str(tmp_path))
+    assert found.count() == 80 * rows and len(found.inputFiles()) > 1
