@@ -57,7 +57,7 @@ def test_parsing_is_spread(spark, tmp_path, monkeypatch):
     assert parsed.select(F.input_file_name()).distinct().count() > 1
 
 
-@pytest.mark.parametrize("name, rows", [("parse_imports", 16), ("parse_heritage", 13)])
+@pytest.mark.parametrize("name, rows", [("parse_imports", 16), ("parse_heritage", 13), ("parse_calls", 19)])
 def test_rendered_queries_are_spread(spark, tmp_path, monkeypatch, name, rows):
     monkeypatch.setattr(rendered, "UNITS", 10, raising=False)
     spark.range(1, 81, 1, 1).withColumnRenamed("id", "s_suppkey").write.parquet(str(tmp_path / "supplier.parquet"))
