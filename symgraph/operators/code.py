@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.graph import SymGraph, name_or_qname
@@ -28,10 +28,15 @@ def hubs(symbols: DataFrame, calls: DataFrame, limit: int | None = 25) -> DataFr
     return out if limit is None else out.orderBy(F.desc("in_degree"), "file", "name", "kind").limit(limit)
 
 
+def _owner() -> Column:
+    """What stands in the qname before a dot and the name, else null: a key to join owners on, where a qname put together from both sides would leave the file alone to join on."""
+    return F.when(F.col("qname").endswith(F.concat(F.lit("."), F.col("name"))), F.expr("left(qname, length(qname) - length(name) - 1)"))
+
+
 def interface_members(symbols: DataFrame) -> DataFrame:
     """Symbols that an interface of the same file declares: qname is the interface's name, a dot and their name."""
     owners = symbols.where("kind = 'interface'").select(F.col("name").alias("_o"), F.col("file").alias("_f")).distinct()
-    return symbols.join(owners, (F.col("file") == F.col("_f")) & (F.col("qname") == F.concat_ws(".", "_o", "name")), "left_semi")
+    return symbols.join(owners, (F.col("file") == F.col("_f")) & (_owner() == F.col("_o")), "left_semi")
 
 
 def without_callers(symbols: DataFrame, calls: DataFrame) -> DataFrame:
@@ -97,7 +102,7 @@ def contract_members(symbols: DataFrame, heritage: DataFrame) -> DataFrame:
     named = heritage.where("not is_external").join(symbols.select(F.col("id").alias("_si"), F.col("name").alias("_sn")), F.col("super_id") == F.col("_si"))
     owners = named.join(symbols.select(F.col("id").alias("_oi"), F.col("name").alias("_on"), F.col("file").alias("_of")), F.col("sub_id") == F.col("_oi")).select("_sn", "_on", "_of").distinct()
     declared = symbols.select(F.col("qname").alias("_dq")).distinct()
-    members = symbols.join(owners, (F.col("file") == F.col("_of")) & (F.col("qname") == F.concat_ws(".", "_on", "name")))
+    members = symbols.join(owners, (F.col("file") == F.col("_of")) & (_owner() == F.col("_on")))
     return members.join(declared, F.concat_ws(".", "_sn", "name") == F.col("_dq"), "left_semi").select("id").distinct()
 
 

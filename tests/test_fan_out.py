@@ -1,12 +1,13 @@
 """Steps whose rows fan out: results as by plain loops, and nothing grouped or shuffled where all rows have been made."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from symgraph import extract, rendered
-from symgraph.operators import ingest
+from symgraph.operators import code, ingest
 
 SYMBOLS = "id string, name string, qname string"
 RAW = "caller_id string, callee_name string, callee_qname string, file string, line int"
@@ -63,3 +64,20 @@ def test_rendered_queries_are_spread(spark, tmp_path, monkeypatch, name, rows):
     spark.range(1, 81, 1, 1).withColumnRenamed("id", "s_suppkey").write.parquet(str(tmp_path / "supplier.parquet"))
     found = rendered.QUERIES[name](spark, str(tmp_path))
     assert found.count() == 80 * rows and len(found.inputFiles()) > 1
+
+
+def test_members_are_found_by_owner(spark):
+    """Members by file and owner, as by loops, and by no join on the file alone."""
+    rng = random.Random(4)
+    names = ["a", "b", "a.b", "", "c"]
+    symbols = [(i, n := rng.choice(names), rng.choice([n, *(f"{o}.{n}" for o in names), f".{n}", f"{n}.", None]), rng.choice(["interface", "class"]), f"f{i % 3}") for i in range(120)]
+    heritage = sorted({(rng.randrange(120), rng.randrange(120)) for _ in range(60)})
+    df = spark.createDataFrame(symbols, "id long, name string, qname string, kind string, file string")
+    by = {s[0]: s for s in symbols}
+    interfaces = {s[0] for s in symbols if any(o[3] == "interface" and o[4] == s[4] and s[2] == f"{o[1]}.{s[1]}" for o in symbols)}
+    asked = {m[0] for sub, sup in heritage for m in symbols if m[4] == by[sub][4] and m[2] == f"{by[sub][1]}.{m[1]}" and any(d[2] == f"{by[sup][1]}.{m[1]}" for d in symbols)}
+    members = code.contract_members(df, spark.createDataFrame([(a, b, False) for a, b in heritage], "sub_id long, super_id long, is_external boolean"))
+    assert interfaces and asked
+    for found, want in ((code.interface_members(df), interfaces), (members, asked)):
+        assert sorted(r["id"] for r in found.collect()) == sorted(want)
+        assert not re.search(r"Join [^\n]*(?:Inner|LeftSemi),[^\n]*concat_ws", found._jdf.queryExecution().executedPlan().toString())
