@@ -104,7 +104,7 @@ def resolve_imports(raw: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def resolve_heritage(raw: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Sub by id, or by the name or qname that its id ends in; super by name or qname, else external."""
+    """Sub by id, or by the name or qname that its id ends in; super by name or qname, else external. Both sides of the last join are distinct, so its rows are."""
     rows = raw.select("sub_id", "super_name", "rel").distinct()
     ids = symbols.select(F.col("id").alias("_id"))
     by_id = rows.join(ids, rows["sub_id"] == F.col("_id"), "left_semi")
@@ -112,4 +112,4 @@ def resolve_heritage(raw: DataFrame, symbols: DataFrame) -> DataFrame:
     by_name = rest.join(match_names(rest.select("ref").distinct(), symbols), "ref").select(F.col("symbol_id").alias("sub_id"), "super_name", "rel")
     subs = by_id.select("sub_id", "super_name", "rel").unionByName(by_name).distinct()
     matched = match_names(subs.select(F.col("super_name").alias("ref")).distinct(), symbols)
-    return subs.join(matched, F.col("super_name") == F.col("ref"), "left").select("sub_id", F.col("symbol_id").alias("super_id"), "super_name", "rel", F.col("symbol_id").isNull().alias("is_external")).distinct()
+    return subs.join(matched, F.col("super_name") == F.col("ref"), "left").select("sub_id", F.col("symbol_id").alias("super_id"), "super_name", "rel", F.col("symbol_id").isNull().alias("is_external"))

@@ -58,7 +58,7 @@ def test_parsing_is_spread(spark, tmp_path, monkeypatch):
     assert parsed.select(F.input_file_name()).distinct().count() > 1
 
 
-@pytest.mark.parametrize("name, rows", [("parse_imports", 16), ("parse_heritage", 13), ("parse_calls", 19)])
+@pytest.mark.parametrize("name, rows", [("parse_imports", 16), ("parse_heritage", 13), ("parse_calls", 19), ("heritage_edges", 3)])
 def test_rendered_queries_are_spread(spark, tmp_path, monkeypatch, name, rows):
     monkeypatch.setattr(rendered, "UNITS", 10, raising=False)
     spark.range(1, 81, 1, 1).withColumnRenamed("id", "s_suppkey").write.parquet(str(tmp_path / "supplier.parquet"))
@@ -81,3 +81,15 @@ def test_members_are_found_by_owner(spark):
     for found, want in ((code.interface_members(df), interfaces), (members, asked)):
         assert sorted(r["id"] for r in found.collect()) == sorted(want)
         assert not re.search(r"Join [^\n]*(?:Inner|LeftSemi),[^\n]*concat_ws", found._jdf.queryExecution().executedPlan().toString())
+
+
+def test_heritage_fans_out_last(spark):
+    """Names that many symbols bear: each edge once, and nothing grouped after the last join."""
+    symbols = [(f"p:{n}:{i}", n, q) for i, (n, q) in enumerate([("a", "a"), ("a", "c.a"), ("b", "a"), ("c", None), ("c", "c")])]
+    raw = [("p:a:0", "a", "extends", "p"), ("p:a:0", "a", "extends", "p"), ("p:c", "a", "implements", "p"), ("p:c:3", "a", "implements", "p"), ("p:b:2", "out", "extends", "p"), ("p:gone", "a", "extends", "p")]
+    found = ingest.resolve_heritage(spark.createDataFrame(raw, "sub_id string, super_name string, rel string, file string"), spark.createDataFrame(symbols, SYMBOLS))
+    bear = lambda ref: {i for i, n, q in symbols if ref in (n, q)}
+    want = {(s, t, n, rel) for sub, n, rel, _ in raw for s in ({sub} & {x[0] for x in symbols} or bear(sub.split(":")[1])) for t in bear(n) or {None}}
+    rows = [tuple(r) for r in found.collect()]
+    assert sorted(rows, key=repr) == sorted(((*w, w[1] is None) for w in want), key=repr)
+    assert "Aggregate" not in _before_joins(found)
